@@ -5,10 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import encoding, splitting, truncation
+from . import encoding, prose, secrets, splitting, truncation
 from .base import table
 
 
+def p1_prose(spark: SparkSession, d: str) -> DataFrame:
+    return prose.corpus_prose(table(spark, d, "documents"), table(spark, d, "source_excerpts"), table(spark, d, "raw_observations"))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return p1_prose(spark, d).select("tab", "rec_id", "lang")
+
+
+def p1_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The share of each language's prose in the code files of each skill."""
+    rows = p1_prose(spark, d).where("tab = 'excerpt'")
+    files = table(spark, d, "source_excerpts").where("kind = 'code'").select(F.col("excerpt_id").alias("rec_id"), "skill_id").dropDuplicates(["rec_id"])
+    return rows.join(files, "rec_id").groupBy("skill_id", "lang").agg(F.count("*").alias("files"), F.round(F.avg("share"), 6).alias("mean_share"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return secrets.corpus_secrets(table(spark, d, "source_excerpts"), table(spark, d, "raw_observations"), table(spark, d, "skill_specs")).select("tab", "rec_id", "secret")
+
+
+def p3_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return secrets.corpus_secrets(table(spark, d, "source_excerpts"), table(spark, d, "raw_observations"), table(spark, d, "skill_specs"), redacted=True).select("tab", "rec_id", "found", "redacted")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return splitting.oversized(table(spark, d, "source_excerpts"), table(spark, d, "source_bundles"), table(spark, d, "build_configs"))
 
@@ -30,7 +53,7 @@ def p9_rates(spark: SparkSession, d: str) -> DataFrame:
     return truncation.source_rates(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_pieces, p7_ids, p9_found, p9_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_prose, p1_shares, p3_found, p3_redacted, p5_found, p5_pieces, p7_ids, p9_found, p9_rates)}
 
 #: Queries that SQL can express over the whole tables.
 ORACLE = {
