@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import encoding, prose, secrets, splitting, truncation
+from . import encoding, prose, provenance, secrets, splitting, truncation
 from .base import table
 
 
@@ -32,6 +32,19 @@ def p3_redacted(spark: SparkSession, d: str) -> DataFrame:
     return secrets.corpus_secrets(table(spark, d, "source_excerpts"), table(spark, d, "raw_observations"), table(spark, d, "skill_specs"), redacted=True).select("tab", "rec_id", "found", "redacted")
 
 
+def p4_files(spark: SparkSession, d: str) -> DataFrame:
+    return provenance.not_handwritten(table(spark, d, "source_excerpts"), table(spark, d, "upstream_libs"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return p4_files(spark, d).select("file_key")
+
+
+def p4_handwritten(spark: SparkSession, d: str) -> DataFrame:
+    """The code files that remain, with the size that their text really has."""
+    return provenance.handwritten(table(spark, d, "file_entries"), table(spark, d, "source_excerpts"), table(spark, d, "upstream_libs"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return splitting.oversized(table(spark, d, "source_excerpts"), table(spark, d, "source_bundles"), table(spark, d, "build_configs"))
 
@@ -53,7 +66,7 @@ def p9_rates(spark: SparkSession, d: str) -> DataFrame:
     return truncation.source_rates(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_prose, p1_shares, p3_found, p3_redacted, p5_found, p5_pieces, p7_ids, p9_found, p9_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_prose, p1_shares, p3_found, p3_redacted, p4_found, p4_files, p4_handwritten, p5_found, p5_pieces, p7_ids, p9_found, p9_rates)}
 
 #: Queries that SQL can express over the whole tables.
 ORACLE = {
