@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import encoding, prose, provenance, secrets, splitting, truncation
+from . import encoding, neardup, prose, provenance, secrets, splitting, truncation
 from .base import table
 
 
@@ -54,6 +54,28 @@ def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.excerpt_pieces(*args).unionByName(splitting.bundle_pieces(*args))
 
 
+def _documents_of_bundles(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "source_excerpts").where("kind = 'doc'")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    pairs = neardup.near_pairs(_documents_of_bundles(spark, d), "excerpt_id", "text")
+    return pairs.select(F.col("a").alias("excerpt_a"), F.col("b").alias("excerpt_b"))
+
+
+def p6_groups(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.groups(_documents_of_bundles(spark, d), "excerpt_id", "text").withColumnRenamed("id", "excerpt_id")
+
+
+def p6_label_skills(spark: SparkSession, d: str) -> DataFrame:
+    """The groups that reach the sources of labels of several skills, with the number of each."""
+    bundles = table(spark, d, "source_bundles").select("bundle_id", "source_hash").dropDuplicates(["bundle_id"])
+    labels = table(spark, d, "gold_labels").select("source_hash", F.col("skill_id").alias("labelled_skill")).distinct()
+    held = _documents_of_bundles(spark, d).select("excerpt_id", "bundle_id").dropDuplicates(["excerpt_id"]).join(bundles, "bundle_id")
+    rows = p6_groups(spark, d).join(held, "excerpt_id").join(labels, "source_hash")
+    return rows.groupBy("class_id").agg(F.countDistinct("labelled_skill").alias("skills"), F.countDistinct("source_hash").alias("sources")).where("skills > 1")
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encoding.token_ids(table(spark, d, "documents"))
 
@@ -66,7 +88,7 @@ def p9_rates(spark: SparkSession, d: str) -> DataFrame:
     return truncation.source_rates(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_prose, p1_shares, p3_found, p3_redacted, p4_found, p4_files, p4_handwritten, p5_found, p5_pieces, p7_ids, p9_found, p9_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_prose, p1_shares, p3_found, p3_redacted, p4_found, p4_files, p4_handwritten, p5_found, p5_pieces, p6_found, p6_groups, p6_label_skills, p7_ids, p9_found, p9_rates)}
 
 #: Queries that SQL can express over the whole tables.
 ORACLE = {
