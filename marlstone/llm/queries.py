@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import encoding, neardup, prose, provenance, secrets, splitting, truncation
+from . import encoding, neardup, packing, prose, provenance, secrets, splitting, truncation
 from .base import table
 
 
@@ -80,6 +80,14 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encoding.token_ids(table(spark, d, "documents"))
 
 
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack_texts(table(spark, d, "documents"), table(spark, d, "pack_limits"))
+
+
+def p8_quality(spark: SparkSession, d: str) -> DataFrame:
+    return packing.quality(p8_containers(spark, d), table(spark, d, "pack_limits"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return truncation.truncated(table(spark, d, "documents")).select("doc_id")
 
@@ -88,7 +96,7 @@ def p9_rates(spark: SparkSession, d: str) -> DataFrame:
     return truncation.source_rates(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_prose, p1_shares, p3_found, p3_redacted, p4_found, p4_files, p4_handwritten, p5_found, p5_pieces, p6_found, p6_groups, p6_label_skills, p7_ids, p9_found, p9_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_prose, p1_shares, p3_found, p3_redacted, p4_found, p4_files, p4_handwritten, p5_found, p5_pieces, p6_found, p6_groups, p6_label_skills, p7_ids, p8_containers, p8_quality, p9_found, p9_rates)}
 
 #: Queries that SQL can express over the whole tables.
 ORACLE = {
