@@ -16,6 +16,7 @@ group is collected whole.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +30,7 @@ GRAM, SIMILARITY = 9, 0.65
 #: Bands of minimum hashes and hashes in each; pages in which a pair must meet.
 BANDS, ROWS, MEETINGS = 130, 6, 2
 #: Groups of the coarse counts in the pages and of the fine counts before exact verification.
-COARSE, FINE = 16, 1024
+COARSE, FINE = 8, 1024
 #: Points of a page that one task holds, and points of a leaf of the tree.
 BLOCK, LEAF = 8192, 32
 #: Texts with fewer 9-grams use one exact minimum for each hash, longer ones minima of bins; the
@@ -149,6 +150,17 @@ def shared_dir(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="marlstone-"))
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The table written to the shared checkpoint folder and read again: it outlives lost executors
+    and, in columns, takes a fraction of a checkpoint's room."""
+    spark = df.sparkSession
+    shared_dir(spark)
+    root = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir")
+    path = f"{root}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def placed(reps: DataFrame) -> DataFrame:
     """``(page, id, point)`` of each text, from ``(id, text)`` with normalised texts."""
 
@@ -159,7 +171,7 @@ def placed(reps: DataFrame) -> DataFrame:
             h = grams(t)
             if not len(h):
                 continue
-            blob = counts(h, COARSE).astype("<u4").tobytes()
+            blob = counts(h, COARSE).clip(0, 65535).astype("<u2").tobytes()
             for k in pages(h):
                 keys.append(k)
                 owners += [i] * len(k)
@@ -180,7 +192,7 @@ def _pairs_of(rows: DataFrame) -> DataFrame:
         def flush(table: pa.Table) -> pa.RecordBatch:
             keys = table.column("page").to_numpy() ^ (table.column("block").to_numpy() * np.int64(0x1F3D5B79))
             ids, side = table.column("id").to_numpy(), table.column("side").to_numpy()
-            points = np.frombuffer(b"".join(table.column("point").to_pylist()), "<u4").reshape(-1, COARSE).astype("int64")
+            points = np.frombuffer(b"".join(table.column("point").to_pylist()), "<u2").reshape(-1, COARSE).astype("int64")
             edges = [0, *(np.flatnonzero(np.diff(keys)) + 1), len(keys)]
             left, right = [], []
             for a, b in zip(edges, edges[1:], strict=False):
@@ -211,15 +223,19 @@ def _pairs_of(rows: DataFrame) -> DataFrame:
 def similar_reps(reps: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``(a, b, similarity)`` of distinct normalised texts ``(id, text)``, a < b."""
     shared_dir(reps.sparkSession)
-    rows = placed(reps).checkpoint()
-    hot = rows.groupBy("page").count().where(F.col("count") > BLOCK).select("page", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
-    # At most one hot page for every BLOCK rows; AQE broadcasts the table while it is small.
-    cold = rows.join(hot, "page", "left_anti").withColumns({"block": F.lit(0).cast("bigint"), "side": F.lit(0)})
-    split = rows.join(hot, "page").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    split = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    low, high = F.least("own", "other"), F.greatest("own", "other")
-    split = split.select("page", "id", "point", (1 + low.cast("bigint") * F.col("blocks") + high).alias("block"), (F.col("own") > F.col("other")).cast("int").alias("side"))
-    met = _pairs_of(cold.unionByName(split)).groupBy("a", "b").count().where(F.col("count") >= MEETINGS)
+    rows = written(placed(reps), "pages")
+    hot = written(rows.groupBy("page").count().where(F.col("count") > BLOCK).select("page", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), "hot")
+    cold, hot_pages = rows, hot.count()
+    parts = None
+    if hot_pages:
+        hot = F.broadcast(hot) if hot_pages <= 100_000 else hot
+        cold = rows.join(hot, "page", "left_anti")
+        split = rows.join(hot, "page").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        split = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        low, high = F.least("own", "other"), F.greatest("own", "other")
+        parts = split.select("page", "id", "point", (1 + low.cast("bigint") * F.col("blocks") + high).alias("block"), (F.col("own") > F.col("other")).cast("int").alias("side"))
+    cold = cold.withColumns({"block": F.lit(0).cast("bigint"), "side": F.lit(0)})
+    met = _pairs_of(cold if parts is None else cold.unionByName(parts)).groupBy("a", "b").count().where(F.col("count") >= MEETINGS)
     texts = reps.select("id", "text")
     both = met.select("a", "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
 
