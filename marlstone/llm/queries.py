@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import encoding, neardup, packing, prose, provenance, secrets, splitting, truncation
+from . import encoding, neardup, packing, prose, provenance, secrets, splitting, syntax, truncation
 from .base import table
 
 
@@ -24,6 +24,29 @@ def p1_shares(spark: SparkSession, d: str) -> DataFrame:
     return rows.join(files, "rec_id").groupBy("skill_id", "lang").agg(F.count("*").alias("files"), F.round(F.avg("share"), 6).alias("mean_share"))
 
 
+def p2_files(spark: SparkSession, d: str) -> DataFrame:
+    return syntax.invalid(table(spark, d, "source_excerpts"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return p2_files(spark, d).select("file_key")
+
+
+def p2_rates(spark: SparkSession, d: str) -> DataFrame:
+    return syntax.rates(table(spark, d, "source_excerpts"))
+
+
+def p2_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Invalid files by cause, and whether the tables name the language that their path claims."""
+    kind = F.lower(F.trim("language"))
+    plain = F.when(kind.isin("py", "python3"), "python").when(kind.isin("js", "mjs", "node"), "javascript").when(kind == "ts", "typescript").when(kind.isin("sh", "shell"), "bash").otherwise(kind)
+    entries = table(spark, d, "file_entries").select("file_key", plain.alias("entry")).dropDuplicates(["file_key"])
+    units = table(spark, d, "code_units").groupBy("file_key").agg(F.min(plain).alias("unit"))
+    rows = p2_files(spark, d).join(entries, "file_key", "left").join(units, "file_key", "left")
+    same = lambda c: F.coalesce(F.col(c) == F.col("language"), F.lit(False))
+    return rows.groupBy("language", "cause", same("entry").alias("entry_agrees"), same("unit").alias("unit_agrees")).agg(F.count("*").alias("files"), F.sum(F.col("edits").cast("bigint")).alias("edits"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return secrets.corpus_secrets(table(spark, d, "source_excerpts"), table(spark, d, "raw_observations"), table(spark, d, "skill_specs")).select("tab", "rec_id", "secret")
 
@@ -96,7 +119,7 @@ def p9_rates(spark: SparkSession, d: str) -> DataFrame:
     return truncation.source_rates(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_prose, p1_shares, p3_found, p3_redacted, p4_found, p4_files, p4_handwritten, p5_found, p5_pieces, p6_found, p6_groups, p6_label_skills, p7_ids, p8_containers, p8_quality, p9_found, p9_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_prose, p1_shares, p2_found, p2_files, p2_rates, p2_labels, p3_found, p3_redacted, p4_found, p4_files, p4_handwritten, p5_found, p5_pieces, p6_found, p6_groups, p6_label_skills, p7_ids, p8_containers, p8_quality, p9_found, p9_rates)}
 
 #: Queries that SQL can express over the whole tables.
 ORACLE = {
