@@ -131,7 +131,7 @@ ORACLE = {
         select 'excerpt' as item_kind, excerpt_id as item_id from r where n > max_file_chars
         union all
         select 'run', excerpt_id from r where n > max_file_chars
-          and list_max(list_transform(regexp_split_to_array(text, '[ \\t\\r\\n]'), x -> length(x))) > max_file_chars
+          and list_max([length(x) for x in regexp_split_to_array(text, '[ \\t\\r\\n]')]) > max_file_chars
         union all
         select 'bundle', bundle_id from r group by bundle_id, max_total_chars having sum(n) > max_total_chars
     """,
