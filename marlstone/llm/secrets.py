@@ -48,7 +48,7 @@ _BETWEEN = re.compile(
         [ \t]*(?:\n[ \t]*(?=["'`]))?(?:\([ \t]*)?(?P<prefix>[brfuBRFU]{1,2}(?=["']))?""",
     re.X,
 )
-_QUOTED = re.compile(r"""\\?(?P<q>"{3}|'{3}|["'`])(?P<v>(?:\\.|(?!\\?(?P=q))[\s\S])*?)\\?(?P=q)""")
+_QUOTED = re.compile(r"""(?P<esc>\\)?(?P<q>"{3}|'{3}|["'`])(?P<v>(?(esc)(?:(?!\\(?P=q))[\s\S])|(?:\\.|(?!(?P=q))[\s\S]))*?)(?(esc)\\)(?P=q)""")
 _DEFAULT = re.compile(r":?[-=][\"']?(?P<v>[^}\"'\s]+)")
 _BARE = re.compile(r"[^\s\"'`]+")
 _SCHEME = re.compile(r"(?i)(?:Bearer|Token|Basic|ApiKey|Api-Key|Digest|Key|Negotiate|AWS4-HMAC-SHA256)[ \t]+(?=\S)")
