@@ -5,24 +5,27 @@ from __future__ import annotations
 from itertools import combinations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _shared(df: DataFrame) -> None:
+def shared_dir(spark: SparkSession) -> None:
     """Checkpoints go to the folder that the session names; to a local one only where it names none."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+    if spark.sparkContext.getCheckpointDir():
+        return
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
         import tempfile
 
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="marlstone-"))
+        named = tempfile.mkdtemp(prefix="marlstone-")
+    spark.sparkContext.setCheckpointDir(named)
 
 
 def closure(roots: DataFrame, edges: DataFrame, depth: int = 64) -> DataFrame:
     """G1: ``(node, level, parent)`` reached from ``roots(node)`` over ``edges(src, dst)``, the first
     reach wins and ties go to the least parent. One join of the frontier a level; the frontier is
     checkpointed, so that lineage does not grow."""
-    _shared(roots)
+    shared_dir(roots.sparkSession)
     seen = roots.select("node", F.lit(0).alias("level"), F.lit(None).cast(roots.schema["node"].dataType).alias("parent")).distinct().checkpoint()
     frontier = seen
     for level in range(1, depth + 1):
@@ -36,7 +39,7 @@ def closure(roots: DataFrame, edges: DataFrame, depth: int = 64) -> DataFrame:
 
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """``(node, root)``, the least node that each is connected with."""
-    _shared(edges)
+    shared_dir(edges.sparkSession)
     both = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).unionByName(edges.select(F.col("dst").alias("a"), F.col("src").alias("b"))).distinct().checkpoint()
     labels = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")).checkpoint()
     for _ in range(rounds):
