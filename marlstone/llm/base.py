@@ -6,7 +6,6 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 #: Bytes of one Arrow batch handed to a Python worker; whole texts vary from bytes to megabytes.
 BATCH_BYTES = 16 << 20
@@ -37,9 +36,3 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | p
 
     return df.mapInArrow(run, schema)
 
-
-def spread(df: DataFrame, cost: str, per_task: int = 32 << 20) -> DataFrame:
-    """Leave the scan's partitions as they are: Parquet splits bound them. Present for callers that
-    must repartition a small, dense table before costly Python work."""
-    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8)
-    return df.repartition(parts, F.xxhash64(cost))

@@ -21,9 +21,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import shared_dir
 from .base import map_batches
 
 GRAM, SIMILARITY = 9, 0.65
@@ -142,21 +143,12 @@ def page_pairs(ids: np.ndarray, points: np.ndarray, side: np.ndarray | None = No
     return np.minimum(a, b), np.maximum(a, b)
 
 
-def shared_dir(spark: SparkSession) -> None:
-    """Checkpoints go where the cluster says; only where it says nothing (tests) to a local folder."""
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="marlstone-"))
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """The table written to the shared checkpoint folder and read again: it outlives lost executors
     and, in columns, takes a fraction of a checkpoint's room."""
     spark = df.sparkSession
     shared_dir(spark)
-    root = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir")
-    path = f"{root}/{name}-{uuid.uuid4().hex}"
+    path = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -20,6 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import shared_dir
 from .encoding import VOCABULARY, token_counts
 
 #: Documents of a partition, and partitions whose open containers are exchanged together.
@@ -116,8 +117,6 @@ def items_of(docs: DataFrame, limits: DataFrame, parts: int) -> DataFrame:
 def pack(docs: DataFrame, limits: DataFrame, partition: int = PARTITION, rounds: int = ROUNDS) -> DataFrame:
     """``(pack_id, doc_id, piece, tokens, container, used_tokens)`` from ``(doc_id, tokens)``. A
     container is named by its partition and number; used_tokens is what it holds."""
-    from .neardup import shared_dir
-
     shared_dir(docs.sparkSession)
     docs = docs.dropDuplicates(["doc_id"]).checkpoint()
     parts = max(1, -(-docs.count() // partition))
