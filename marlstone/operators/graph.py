@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from itertools import combinations
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -60,15 +60,24 @@ def covers(groups: list[frozenset], chosen: set) -> bool:
 
 
 def smallest_cover(requirements: list[list[str]], exact: int = 18) -> tuple[str, list[str]]:
-    """The least set of facts that meets each requirement; exact up to ``exact`` facts by subsets
-    in ascending size, beyond that one pass that drops what is not needed."""
-    groups = [frozenset(r) for r in requirements if r]
+    """The least set of facts that meets each requirement, of several the first in order. Facts
+    that meet the same requirements are alternatives, the least stands for all of them. Exact up to
+    ``exact`` requirements or kinds of fact, beyond that one pass that drops what is not needed."""
+    groups = list(dict.fromkeys(frozenset(r) for r in requirements if r))
     facts = sorted(set().union(*groups)) if groups else []
-    if len(facts) <= exact:
-        for size in range(len(facts) + 1):
-            for subset in combinations(facts, size):
-                if covers(groups, set(subset)):
-                    return "exact", list(subset)
+    kinds: dict[int, str] = {}
+    for fact in facts:
+        kinds.setdefault(sum(1 << i for i, g in enumerate(groups) if fact in g), fact)
+    if min(len(kinds), len(groups)) <= exact:
+
+        @cache
+        def least(missing: int) -> tuple[str, ...]:
+            # One of the facts that meet the lowest missing requirement belongs to any cover.
+            low = missing & -missing
+            found = (tuple(sorted((fact, *least(missing & ~met)))) for met, fact in kinds.items() if met & low)
+            return min(found, key=lambda s: (len(s), s)) if missing else ()
+
+        return "exact", list(least((1 << len(groups)) - 1))
     kept = set(facts)
     for fact in facts:
         if covers(groups, kept - {fact}):
@@ -78,11 +87,17 @@ def smallest_cover(requirements: list[list[str]], exact: int = 18) -> tuple[str,
 
 def witnesses(df: DataFrame, key: str, requirement: str, fact: str) -> DataFrame:
     """``(key, mode, facts, size)``: a minimal witness of each finding from rows of requirement and
-    alternative fact; a finding's neighbourhood is small by construction (distinct pairs)."""
-    rows = df.select(F.col(key).cast("string").alias("key"), F.col(requirement).cast("string").alias("req"), F.col(fact).cast("string").alias("fact")).distinct()
+    alternative fact. Only the least fact for each set of requirements that facts meet reaches the
+    search, so that a finding costs no more for having many facts; rows without either are left out."""
+    rows = df.select(F.col(key).cast("string").alias("key"), F.col(requirement).cast("string").alias("req"), F.col(fact).cast("string").alias("fact")).where("req is not null and fact is not null")
+    kinds = rows.groupBy("key", "fact").agg(F.sort_array(F.collect_set("req")).alias("reqs")).groupBy("key", "reqs").agg(F.min("fact").alias("fact"))
 
     def solve(frame: pd.DataFrame) -> pd.DataFrame:
-        mode, facts = smallest_cover([sorted(g["fact"]) for _, g in frame.groupby("req")])
+        groups: dict[str, list[str]] = {}
+        for reqs, name in zip(frame["reqs"], frame["fact"], strict=True):
+            for req in reqs:
+                groups.setdefault(req, []).append(name)
+        mode, facts = smallest_cover([groups[req] for req in sorted(groups)])
         return pd.DataFrame({"key": [frame["key"].iloc[0]], "mode": [mode], "facts": [facts], "size": [len(facts)]})
 
-    return rows.groupBy("key").applyInPandas(solve, "key string, mode string, facts array<string>, size int")
+    return kinds.groupBy("key").applyInPandas(solve, "key string, mode string, facts array<string>, size int")

@@ -9,6 +9,7 @@ from marlstone.operators import evaluation as E
 from marlstone.operators import graph as G
 from marlstone.operators import relational as R
 from marlstone.operators import tri
+from marlstone.plans import queries as core
 
 T3 = ("true", "false", "abstain")
 
@@ -113,3 +114,24 @@ def test_witnesses_are_minimal(spark):
     assert G.smallest_cover([["a", "b"], ["b"]], exact=1) == ("greedy", ["b"])
     df = spark.createDataFrame([("k", "r1", "a"), ("k", "r1", "b"), ("k", "r2", "b")], "k string, r string, f string")
     assert [(r.key, list(r.facts)) for r in G.witnesses(df, "k", "r", "f").collect()] == [("k", ["b"])]
+
+
+def test_a_call_that_serves_two_capabilities_is_found_wherever_it_sorts(spark, monkeypatch):
+    rows = [("s", c, f"{c[0]}{i:02d}") for c in ("network_request", "shell_exec") for i in range(30)] + [("s", "network_request", "z"), ("s", "shell_exec", "z"), ("s", "shell_exec", None)]
+    seen = spark.createDataFrame(rows, "skill_id string, capability string, api_call string")
+    monkeypatch.setattr(core, "observed", lambda spark, d: seen)
+    assert [(r.key, r.mode, list(r.facts)) for r in core.witness_minimal(spark, "").collect()] == [("s", "exact", ["z"])]
+
+
+def test_covers_beyond_eighteen_facts_are_exact_and_first_in_order():
+    rng = random.Random(7)
+    for _ in range(20):
+        groups = [sorted({f"f{rng.randrange(24):02d}" for _ in range(rng.randint(4, 9))}) for _ in range(4)]
+        facts = sorted(set().union(*groups))
+        want = next(list(s) for n in range(5) for s in itertools.combinations(facts, n) if all(set(s) & set(g) for g in groups))
+        assert G.smallest_cover(groups) == ("exact", want)
+
+
+def test_bootstrap_query_has_a_thousand_rounds(spark, monkeypatch):
+    monkeypatch.setattr(core, "t", lambda spark, d, name: spark.createDataFrame([(i % 10,) for i in range(50)], "n_chars long"))
+    assert core.bootstrap_ci(spark, "").first().rounds == 1000
