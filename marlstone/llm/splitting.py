@@ -138,20 +138,28 @@ def bundle_pieces(excerpts: DataFrame, bundles: DataFrame, configs: DataFrame) -
 
     The bundle is first divided at excerpt ends into segments of about ``SEGMENT`` limits (an
     excerpt's end is a natural boundary), so that no task holds more than that and one excerpt,
-    however large the bundle; the excerpt that begins a segment repeats nothing of the one before
-    unless the overlap asks for it, in which case the segment begins with the tail of its predecessor.
+    however large the bundle. A later segment begins with the last characters of the excerpts before
+    it, as many as the overlap asks for, so that the pieces on both sides of the seam share them.
     """
     slim = once(excerpts.select("excerpt_id", "bundle_id", "text").where(F.length("text") > 0), "excerpt_id")
     rows = with_limits(slim.select("excerpt_id", "bundle_id", F.length("text").cast("bigint").alias("n")), bundles, configs)
     whole = Window.partitionBy("bundle_id")
     run = whole.orderBy("excerpt_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumns({"total": F.sum("n").over(whole), "before": F.sum("n").over(run) - F.col("n")}).where(F.col("total") > F.col("max_total_chars"))
-    rows = rows.withColumn("segment", F.floor(F.col("before") / (SEGMENT * F.col("max_total_chars"))))
-    rows = rows.select("excerpt_id", "bundle_id", "segment", "before", "max_total_chars", "overlap_chars").join(slim.select("excerpt_id", "text"), "excerpt_id")
+    cell = SEGMENT * F.col("max_total_chars")
+    rows = rows.withColumns({"segment": F.floor(F.col("before") / cell), "skip": F.lit(0).cast("bigint")})
+    begins = rows.groupBy("bundle_id", "segment").agg(F.min("before").alias("begin"))
+    # The excerpts that reach into the overlap before a segment's begin: it lies in the cell of their end or the next.
+    end, step = F.col("before") + F.col("n"), F.greatest(F.lit(0), F.least("overlap_chars", F.col("max_total_chars") - 1))
+    near = rows.withColumn("own", F.col("segment")).withColumn("segment", F.explode(F.sequence(F.floor(end / cell), F.floor((end + step) / cell))))
+    tails = near.where("segment > own").join(begins, ["bundle_id", "segment"]).where((F.col("begin") >= end) & (F.col("begin") < end + step))
+    tails = tails.withColumn("skip", F.greatest(F.lit(0), F.col("begin") - step - F.col("before"))).select(rows.columns)
+    rows = rows.unionByName(tails).select("excerpt_id", "bundle_id", "segment", "skip", "max_total_chars", "overlap_chars").join(slim.select("excerpt_id", "text"), "excerpt_id")
+    rows = rows.withColumn("text", F.when(F.col("skip") > 0, F.expr("substring(text, cast(skip as int) + 1)")).otherwise(F.col("text")))
 
     def fn(table: pa.Table) -> pa.Table:
         table = table.sort_by("excerpt_id")
-        ids, texts = table.column("excerpt_id").to_pylist(), table.column("text").to_pylist()
+        ids, texts, skips = (table.column(c).to_pylist() for c in ("excerpt_id", "text", "skip"))
         bundle, segment = table.column("bundle_id")[0].as_py(), table.column("segment")[0].as_py()
         limit, overlap = table.column("max_total_chars")[0].as_py(), table.column("overlap_chars")[0].as_py()
         starts = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
@@ -163,7 +171,7 @@ def bundle_pieces(excerpts: DataFrame, bundles: DataFrame, configs: DataFrame) -
                     break
                 lo, hi = max(0, a - int(starts[i])), min(len(texts[i]), b - int(starts[i]))
                 if hi > lo:
-                    out.append(("bundle", bundle, segment * 100_000 + no, ids[i], lo, hi, texts[i][lo:hi]))
+                    out.append(("bundle", bundle, segment * 100_000 + no, ids[i], skips[i] + lo, skips[i] + hi, texts[i][lo:hi]))
         return _rows(out)
 
     return rows.groupBy("bundle_id", "segment").applyInArrow(fn, _PIECES)

@@ -1,3 +1,6 @@
+import random
+
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -50,3 +53,28 @@ def test_pieces_of_excerpts_and_bundles(spark):
 def test_empty_tables(spark):
     tables = [t.limit(0) for t in _tables(spark)]
     assert splitting.oversized(*tables).collect() == splitting.excerpt_pieces(*tables).collect() == splitting.bundle_pieces(*tables).collect() == []
+
+
+@pytest.mark.parametrize("sizes", [[25] * 40, [90, 2, 1, 3, 400, 1, 90, 2, 2, 2, 80]])
+@pytest.mark.parametrize("overlap", [0, 4, 9, 50])
+def test_pieces_overlap_across_segments(spark, monkeypatch, sizes, overlap):
+    if len(set(sizes)) > 1:
+        monkeypatch.setattr(splitting, "SEGMENT", 2)
+    rng = random.Random(3)
+    texts = {i: "".join(rng.choice("abc  .") for _ in range(n)) for i, n in enumerate(sizes)}
+    excerpts = spark.createDataFrame([(i, 1, x) for i, x in texts.items()], "excerpt_id bigint, bundle_id bigint, text string")
+    bundles = spark.createDataFrame([(1, "v1")], "bundle_id bigint, prompt_version string")
+    configs = spark.createDataFrame([("v1", 99, 10, overlap)], "prompt_version string, max_file_chars int, max_total_chars int, overlap_chars int")
+    before, starts = 0, {}
+    for i, x in texts.items():
+        starts[i], before = before, before + len(x)
+    rows = splitting.bundle_pieces(excerpts, bundles, configs).collect()
+    assert before > splitting.SEGMENT * 10 and len({r.piece_no // 100_000 for r in rows}) > 1 and all(r.piece == texts[r.excerpt_id][r.from_char : r.to_char] for r in rows)
+    spans = {}
+    for r in rows:
+        spans.setdefault(r.piece_no, []).append((starts[r.excerpt_id] + r.from_char, starts[r.excerpt_id] + r.to_char))
+    pieces = [sorted(spans[no]) for no in sorted(spans)]
+    assert all(a[1] == b[0] for p in pieces for a, b in zip(p, p[1:]))
+    whole = [(p[0][0], p[-1][1]) for p in pieces]
+    assert whole[0][0] == 0 and whole[-1][1] == before and all(b - a <= 10 for a, b in whole)
+    assert all(a[1] - b[0] == min(overlap, 9) for a, b in zip(whole, whole[1:]))
