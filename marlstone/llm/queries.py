@@ -91,12 +91,15 @@ def p6_groups(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_label_skills(spark: SparkSession, d: str) -> DataFrame:
-    """The groups that reach the sources of labels of several skills, with the number of each."""
+    """One row for each group of two or more excerpts and each skill whose labels share a source with
+    one of them, with the number of these excerpts and sources; ``p6_groups`` lists the excerpts."""
     bundles = table(spark, d, "source_bundles").select("bundle_id", "source_hash").dropDuplicates(["bundle_id"])
-    labels = table(spark, d, "gold_labels").select("source_hash", F.col("skill_id").alias("labelled_skill")).distinct()
+    labels = table(spark, d, "gold_labels").select("source_hash", F.col("skill_id").alias("labelled_skill")).where("labelled_skill is not null").distinct()
     held = _documents_of_bundles(spark, d).select("excerpt_id", "bundle_id").dropDuplicates(["excerpt_id"]).join(bundles, "bundle_id")
-    rows = p6_groups(spark, d).join(held, "excerpt_id").join(labels, "source_hash")
-    return rows.groupBy("class_id").agg(F.countDistinct("labelled_skill").alias("skills"), F.countDistinct("source_hash").alias("sources")).where("skills > 1")
+    members = p6_groups(spark, d).select("excerpt_id", "class_id")
+    grouped = members.groupBy("class_id").agg(F.count("*").alias("members")).where("members > 1").select("class_id")
+    rows = members.join(grouped, "class_id").join(held, "excerpt_id").join(labels, "source_hash")
+    return rows.groupBy("class_id", "labelled_skill").agg(F.countDistinct("excerpt_id").alias("excerpts"), F.countDistinct("source_hash").alias("sources"))
 
 
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
