@@ -4,7 +4,8 @@ Method: a character-level hidden Markov model with one state for code and one fo
 Emissions are smoothed trigram probabilities, trained on a bounded sample of labelled documents and
 of code; a switch of state costs a constant. Lexing the whole text yields its comments and literal
 values; Viterbi decoding, run over all of a batch's regions at once, is restricted to those, and a
-run of one language state that holds enough words is a passage.
+run of one language state that holds enough words is a passage. Passages come out with their text,
+escapes and margins resolved, and the span of the record that they stand in.
 
 Null and empty texts hold no prose. A record counts once for each language, however often its row
 occurs.
@@ -42,7 +43,9 @@ _FENCE = re.compile(r"```.*?(?:```|\Z)|^https?://\S+|^-- .*$|<!--.*?-->", re.S |
 
 
 def _codes(text: str) -> np.ndarray:
-    return np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "uint32")
+    low = text.lower()
+    low = low if len(low) == len(text) else "".join(c.lower()[0] for c in text)  # places must stay those of the text
+    return np.frombuffer(low.encode("utf-32-le", "surrogatepass"), "uint32")
 
 
 def _slots(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -137,60 +140,107 @@ def _may_hold(value: str) -> bool:
     return len(value) >= CHARACTERS and (len(value.split(None, WORDS - 1)) >= WORDS or _WIDE.search(value) is not None) and not _QUERY.match(value)
 
 
-def passages_in(text: str, language: str) -> list[str]:
-    """Contents of the comments and literals that are long enough to hold prose. Comments on
-    consecutive lines, and literals that are joined across lines, count as one."""
-    joined: list[list] = []
+_EDGE = " \t\r*!#/"
+
+
+def _held(text: str, language: str) -> list[tuple[str, str, list[tuple[int, int]]]]:
+    """``(value, kind, spans)`` of the comments and literals that are long enough to hold prose."""
+    joined: list[tuple[str, list[tuple[int, int]]]] = []
     last_end, last_kind = -1, ""
     for kind, start, end in regions(text, language):
-        value = text[start:end]
-        if kind == "literal" and "\\" in value:
-            value = _ESCAPE.sub(_value, value)
         if joined and kind == last_kind and start - last_end < 200 and _JOIN.fullmatch(text[last_end:start]):
-            joined[-1].append(value)
+            joined[-1][1].append((start, end))
         else:
-            joined.append([value])
+            joined.append((kind, [(start, end)]))
         last_end, last_kind = end, kind
     found = []
-    for parts in joined:
+    for kind, places in joined:
+        parts = [text[a:b] for a, b in places]
+        if kind == "literal":
+            parts = [_ESCAPE.sub(_value, x) if "\\" in x else x for x in parts]
         value = " ".join(parts) if len(parts) > 1 else parts[0]
         if "\n" in value:
             value = _MARGIN.sub(" ", value)
         if "$" in value:
             value = _HOLE.sub(" ", value)
-        value = value.strip(" \t\r*!#/")
+        value = value.strip(_EDGE)
         if _may_hold(value):
-            found.append(value)
+            found.append((value, kind, places))
     return found
 
 
-def fragment_passages(text: str, claim: str | None) -> list[str]:
-    """``passages_in`` a piece of a file; where the claimed language's syntax has none, another's may."""
+def _tracked(pattern: re.Pattern, put, value: str, at: list[int], to: list[int]) -> tuple[str, list[int], list[int]]:
+    """``pattern.sub`` that keeps where each character begins and ends in the record."""
+    parts, froms, tos, last = [], [], [], 0
+    for m in pattern.finditer(value):
+        new = put(m)
+        parts += [value[last : m.start()], new]
+        froms += at[last : m.start()] + [at[m.start()]] * len(new)
+        tos += to[last : m.start()] + [to[m.end() - 1]] * len(new)
+        last = m.end()
+    return "".join([*parts, value[last:]]), froms + at[last:], tos + to[last:]
+
+
+def places_of(text: str, kind: str, places: list[tuple[int, int]]) -> tuple[str, list[int], list[int]]:
+    """The value that ``_held`` makes of these spans, with the begin and the end of each of its
+    characters in ``text``."""
+    value, at, to = "", [], []
+    for n, (a, b) in enumerate(places):
+        part = text[a:b], list(range(a, b)), list(range(a + 1, b + 1))
+        if kind == "literal" and "\\" in part[0]:
+            part = _tracked(_ESCAPE, _value, *part)
+        if n:
+            value, at, to = value + " ", [*at, places[n - 1][1]], [*to, a]
+        value, at, to = value + part[0], at + part[1], to + part[2]
+    for pattern in (_MARGIN, _HOLE):
+        value, at, to = _tracked(pattern, lambda m: " ", value, at, to)
+    low, high = len(value) - len(value.lstrip(_EDGE)), len(value.rstrip(_EDGE))
+    return value[low:high], at[low:high], to[low:high]
+
+
+def passages_in(text: str, language: str) -> list[str]:
+    """Contents of the comments and literals that are long enough to hold prose. Comments on
+    consecutive lines, and literals that are joined across lines, count as one."""
+    return [value for value, _, _ in _held(text, language)]
+
+
+def _fragment_held(text: str, claim: str | None) -> list[tuple[str, str, list[tuple[int, int]]]]:
+    """``_held`` of a piece of a file; where the claimed language's syntax has none, another's may."""
     tried: list[str] = []
     for language in (claim, PYTHON, JAVASCRIPT, BASH):
         if language and language not in tried:
             tried.append(language)
-            found = passages_in(text, language)
+            found = _held(text, language)
             if found:
                 return found
     return []
 
 
-def spans(text: str, path: np.ndarray) -> list[tuple[str, int]]:
-    """``(language, characters)`` of each run of a language state that is long enough."""
+def fragment_passages(text: str, claim: str | None) -> list[str]:
+    """``passages_in`` a piece of a file; where the claimed language's syntax has none, another's may."""
+    return [value for value, _, _ in _fragment_held(text, claim)]
+
+
+def runs(text: str, path: np.ndarray) -> list[tuple[str, int, int]]:
+    """``(language, start, end)`` of each run of a language state that is long enough."""
     edges = np.flatnonzero(np.diff(path)) + 1
     found = []
-    for a, b in zip([0, *edges], [*edges, len(path)], strict=True):
+    for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(path)], strict=True):
         state = int(path[a])
         if state:
             part = text[a:b]
             language = STATES[state]
             enough = len(_WIDE.findall(part)) >= CHARACTERS if language in ("zh", "ja") else len(_WORD.findall(part)) >= WORDS
             if enough:
-                found.append((language, b - a))
+                found.append((language, a, b))
     return found
 
 
+def spans(text: str, path: np.ndarray) -> list[tuple[str, int]]:
+    """``(language, characters)`` of each run of a language state that is long enough."""
+    return [(language, b - a) for language, a, b in runs(text, path)]
+
+
 def fit(documents: DataFrame, excerpts: DataFrame, sample: int = SAMPLE) -> Model:
     """A model from at most ``sample`` documents of each language and as many code files, chosen by
     a hash of their keys. Only this bounded sample reaches the driver."""
@@ -224,9 +274,13 @@ def _code_only(text: str, claim: str | None) -> str:
     return "".join([*parts, text[at:]])
 
 
+_PASSAGES = (("rec_id", pa.int64(), "bigint"), ("lang", pa.string(), "string"), ("from_char", pa.int32(), "int"), ("to_char", pa.int32(), "int"), ("passage", pa.string(), "string"), ("chars", pa.int32(), "int"), ("share", pa.float64(), "double"))
+
+
 def prose(df: DataFrame, model: Model, key: str, text: str, path: str, language: str | None, fragments: bool = False) -> DataFrame:
-    """``(rec_id, lang, passages, chars, share)`` for each row and language; share is of the row's
-    characters. ``fragments``: the texts are pieces of files, to be lexed as the language named."""
+    """``(rec_id, lang, from_char, to_char, passage, chars, share)``: one row for each passage, its
+    span in the row's text, and the share of the text's characters that all passages of its language
+    have. ``fragments``: the texts are pieces of files, to be lexed as the language named."""
     shared = df.sparkSession.sparkContext.broadcast(model.table)
     columns = df.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(path).alias("p"), (F.col(language) if language else F.lit(None).cast("string")).alias("l")).where(F.col("t").isNotNull() & (F.length("t") >= CHARACTERS))
 
@@ -234,26 +288,27 @@ def prose(df: DataFrame, model: Model, key: str, text: str, path: str, language:
         own = Model(shared.value)
         keys, texts, paths, names = (batch.column(i).to_pylist() for i in range(4))
         parts: dict[str, int] = {}
-        holders: list[list[int]] = []
+        holders: list[list[tuple]] = []
         for t, p, n in zip(texts, paths, names, strict=True):
             claim = claimed(p, n)
-            found = fragment_passages(t, claim) if fragments else passages_in(t, actual(t, claim))
-            holders.append([parts.setdefault(x, len(parts)) for x in found])
+            found = _fragment_held(t, claim) if fragments else _held(t, actual(t, claim))
+            holders.append([(parts.setdefault(x, len(parts)), kind, places) for x, kind, places in found])
         every = list(parts)
-        got = [spans(x, path_) for x, path_ in zip(every, decode(own, every), strict=True)]
+        got = [runs(x, path_) for x, path_ in zip(every, decode(own, every), strict=True)]
         rows = []
         for k, t, held in zip(keys, texts, holders, strict=True):
-            total: dict[str, list[int]] = {}
-            for i in held:
-                for lang, n in got[i]:
-                    one = total.setdefault(lang, [0, 0])
-                    one[0] += 1
-                    one[1] += n
-            rows.extend((k, lang, n, chars, min(1.0, chars / len(t))) for lang, (n, chars) in total.items())
-        cols = list(zip(*rows, strict=True)) if rows else [()] * 5
-        return pa.RecordBatch.from_arrays([pa.array(list(c), kind) for c, kind in zip(cols, (pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.float64()), strict=True)], ["rec_id", "lang", "passages", "chars", "share"])
+            total: dict[str, int] = {}
+            for i, _, _ in held:
+                for lang, a, b in got[i]:
+                    total[lang] = total.get(lang, 0) + b - a
+            for i, kind, places in held:
+                if got[i]:
+                    value, at, to = places_of(t, kind, places)
+                    rows.extend((k, lang, at[a], to[b - 1], value[a:b].encode("utf-8", "replace").decode(), b - a, min(1.0, total[lang] / len(t))) for lang, a, b in got[i])
+        cols = list(zip(*rows, strict=True)) if rows else [()] * len(_PASSAGES)
+        return pa.RecordBatch.from_arrays([pa.array(list(c), kind) for c, (_, kind, _) in zip(cols, _PASSAGES, strict=True)], [name for name, _, _ in _PASSAGES])
 
-    return map_batches(columns, fn, "rec_id bigint, lang string, passages int, chars bigint, share double").dropDuplicates(["rec_id", "lang"])
+    return map_batches(columns, fn, ", ".join(f"{name} {kind}" for name, _, kind in _PASSAGES)).dropDuplicates(["rec_id", "lang", "from_char", "to_char"])
 
 
 def corpus_prose(documents: DataFrame, excerpts: DataFrame, observations: DataFrame, model: Model | None = None) -> DataFrame:
@@ -262,3 +317,15 @@ def corpus_prose(documents: DataFrame, excerpts: DataFrame, observations: DataFr
     files = prose(excerpts.where("kind = 'code'"), model, "excerpt_id", "text", "path", None)
     pieces = prose(observations, model, "obs_id", "source_text", "relative_path", "language", fragments=True)
     return files.withColumn("tab", F.lit("excerpt")).unionByName(pieces.withColumn("tab", F.lit("observation")))
+
+
+def skill_shares(passages: DataFrame, excerpts: DataFrame) -> DataFrame:
+    """``(skill_id, lang, files, code_files, mean_share)``: the files that hold the language, and its
+    share averaged over all code files of the skill, 0 in those without. A skill without any prose
+    has one row with no language."""
+    code = excerpts.where("kind = 'code' and text is not null").select(F.col("excerpt_id").alias("rec_id"), "skill_id").dropDuplicates(["rec_id"])
+    held = passages.where("tab = 'excerpt'").select("rec_id", "lang", "share").distinct().join(code, "rec_id")
+    held = held.groupBy("skill_id", "lang").agg(F.count("*").alias("files"), F.sum("share").alias("total"))
+    skills = code.groupBy(F.col("skill_id").alias("s")).agg(F.count("*").alias("code_files"))
+    rows = skills.join(held, F.col("s").eqNullSafe(F.col("skill_id")), "left")
+    return rows.select(F.col("s").alias("skill_id"), "lang", F.coalesce("files", F.lit(0)).cast("bigint").alias("files"), "code_files", F.round(F.coalesce("total", F.lit(0.0)) / F.col("code_files"), 6).alias("mean_share"))

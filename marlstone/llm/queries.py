@@ -14,14 +14,12 @@ def p1_prose(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return p1_prose(spark, d).select("tab", "rec_id", "lang")
+    return p1_prose(spark, d).select("tab", "rec_id", "lang").distinct()
 
 
 def p1_shares(spark: SparkSession, d: str) -> DataFrame:
     """The share of each language's prose in the code files of each skill."""
-    rows = p1_prose(spark, d).where("tab = 'excerpt'")
-    files = table(spark, d, "source_excerpts").where("kind = 'code'").select(F.col("excerpt_id").alias("rec_id"), "skill_id").dropDuplicates(["rec_id"])
-    return rows.join(files, "rec_id").groupBy("skill_id", "lang").agg(F.count("*").alias("files"), F.round(F.avg("share"), 6).alias("mean_share"))
+    return prose.skill_shares(p1_prose(spark, d), table(spark, d, "source_excerpts"))
 
 
 def p2_files(spark: SparkSession, d: str) -> DataFrame:

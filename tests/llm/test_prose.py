@@ -60,3 +60,27 @@ def test_tables(spark, model):
     got = {(r.tab, r.rec_id, r.lang) for r in prose.corpus_prose(None, excerpts, seen, model).collect()}
     assert got == {("excerpt", 1, "en"), ("excerpt", 4, "de"), ("observation", 7, "es")}
     assert prose.corpus_prose(None, excerpts.limit(0), seen.limit(0), model).collect() == []
+
+
+def test_values_keep_their_places():
+    for text, language, _ in [*CASES, ("x = ('one \\u00e9 two three ${four} five'\n     'six seven')\n", "python", None), ("/**\n * One two three\n * four five six.\n */\n", "javascript", None)]:
+        for value, kind, places in prose._held(text, language):
+            same, at, to = prose.places_of(text, kind, places)
+            assert same == value and len(at) == len(to) == len(value)
+            assert all(text[a:b] == c or text[a] in "\\$\n" or c == " " for a, b, c in zip(at, to, value))
+
+
+def test_passages_come_out_with_text_place_and_share(spark, model):
+    escaped = "x = '\\u6e05\\u7406\\u6b65\\u9aa4\\u4f1a\\u8bfb\\u53d6\\u6743\\u9650\\u6e05\\u5355\\u548c\\u62a5\\u544a'\n"
+    texts = {1: (CASES[0][0] + "y = 2\n" * 5 + CASES[0][0], "s"), 2: (escaped, "s"), 3: ("x = 1\ny = 2\n", "s"), 4: ("x = 1\ny = 2\n", "t")}
+    rows = [(i, t, "a.py", "code", s) for i, (t, s) in texts.items()] * 2
+    excerpts = spark.createDataFrame(rows, "excerpt_id bigint, text string, path string, kind string, skill_id string")
+    seen = spark.createDataFrame([], "obs_id bigint, source_text string, relative_path string, language string")
+    found = prose.corpus_prose(None, excerpts, seen, model)
+    got = sorted(found.collect(), key=lambda r: (r.rec_id, r.from_char))
+    assert [(r.rec_id, r.lang) for r in got] == [(1, "en"), (1, "en"), (2, "zh")]
+    for r in got[:2]:
+        assert "restores the open snapshots" in r.passage and texts[1][0][r.from_char : r.to_char] == r.passage
+    assert got[2].passage == "清理步骤会读取权限清单和报告" and escaped[got[2].from_char : got[2].to_char] == escaped[5:-2]
+    shares = {(r.skill_id, r.lang): (r.files, r.code_files, r.mean_share) for r in prose.skill_shares(found, excerpts).collect()}
+    assert shares == {("s", "en"): (1, 3, round(got[0].share / 3, 6)), ("s", "zh"): (1, 3, round(got[2].share / 3, 6)), ("t", None): (0, 1, 0.0)}
