@@ -12,8 +12,10 @@ Null and empty texts give an empty list. Strings that spell special tokens are o
 from __future__ import annotations
 
 import base64
+from bisect import bisect_left
 from functools import lru_cache
 from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +48,8 @@ class PrefixEncoder:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str = PATTERN):
         self.ranks = ranks
-        self.split = regex.compile(pattern).findall
+        self.pattern = regex.compile(pattern)
+        self.split = self.pattern.findall
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.longest = max(map(len, ranks), default=1)
         self._joins: dict[tuple[int, int], bool] = {}
@@ -104,10 +107,36 @@ class PrefixEncoder:
     def count(self, text: str | None) -> int:
         return sum(map(len, map(self.pieces.__getitem__, self.split(text)))) if text else 0
 
-    def edit(self, text: str, at: int, removed: int, added: str) -> tuple[str, list[int]]:
-        """The text after an edit and its ids. Pre-tokens outside the edit come from the memo."""
-        new = text[:at] + added + text[at + removed :]
-        return new, self.encode(new)
+    def start(self, text: str) -> Encoded:
+        """A text with its pre-tokens, ready for edits."""
+        ends = [m.end() for m in self.pattern.finditer(text)]
+        return Encoded(text, ends, [self.pieces[text[a:b]] for a, b in zip([0, *ends], ends, strict=False)])
+
+    def edit(self, old: Encoded, at: int, removed: int, added: str) -> Encoded:
+        """The text after an edit. Pre-tokens that end well before the edit are kept; from there the
+        text is split anew until a pre-token ends where one behind the edit ended before, and the
+        rest is kept too. A pre-token looks one character past its end, hence the step back by one."""
+        text = old.text[:at] + added + old.text[at + removed :]
+        keep = max(0, bisect_left(old.ends, at) - 1)
+        moved, place = len(added) - removed, old.ends[keep - 1] if keep else 0
+        behind = {e + moved: i for i, e in enumerate(old.ends[keep:], keep) if e > at + removed}
+        ends, ids = old.ends[:keep], old.ids[:keep]
+        for m in self.pattern.finditer(text, place):
+            ends.append(m.end())
+            ids.append(self.pieces[m[0]])
+            if m.end() in behind and m.end() < len(text):
+                i = behind[m.end()] + 1
+                return Encoded(text, ends + [e + moved for e in old.ends[i:]], ids + old.ids[i:])
+        return Encoded(text, ends, ids)
+
+
+class Encoded(NamedTuple):
+    text: str
+    ends: list[int]  # of the pre-tokens
+    ids: list[list[int]]  # of each pre-token
+
+    def flat(self) -> list[int]:
+        return list(chain.from_iterable(self.ids))
 
 
 @lru_cache(maxsize=2)

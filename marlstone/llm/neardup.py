@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.graph import shared_dir
+from ..operators.graph import components, shared_dir
 from .base import map_batches
 
 GRAM, SIMILARITY = 9, 0.65
@@ -32,8 +32,8 @@ GRAM, SIMILARITY = 9, 0.65
 BANDS, ROWS, MEETINGS = 130, 6, 2
 #: Groups of the coarse counts in the pages and of the fine counts before exact verification.
 COARSE, FINE = 8, 1024
-#: Points of a page that one task holds, and points of a leaf of the tree.
-BLOCK, LEAF = 8192, 32
+#: Points of a page that one task holds, and entries of a node of the tree.
+BLOCK, LEAF = 8192, 16
 #: Texts with fewer 9-grams use one exact minimum for each hash, longer ones minima of bins; the
 #: overlap of the two ranges covers every pair that can reach the similarity.
 _SMALL, _BOTH = 256, 400
@@ -92,29 +92,35 @@ def pages(hashes: np.ndarray) -> list[np.ndarray]:
 
 
 class CountTree:
-    """A packed R-tree over count vectors: leaves of ``LEAF`` points in order of size, boxes above."""
+    """A packed R-tree over count vectors. Points are sorted by size and largest group and packed
+    ``LEAF`` to a node, nodes again, up to one root; a node knows the largest count of each group
+    and the range of sizes below it."""
 
     def __init__(self, points: np.ndarray):
         self.order = np.lexsort((points.argmax(1), points.sum(1)))
         self.points = points[self.order]
         self.size = self.points.sum(1)
-        cuts = np.arange(0, len(points), LEAF)
-        self.high = np.maximum.reduceat(self.points, cuts, axis=0)
-        self.small, self.large = np.minimum.reduceat(self.size, cuts), np.maximum.reduceat(self.size, cuts)
-        self.cuts = [*cuts, len(points)]
+        high, small, large = self.points, self.size, self.size
+        self.levels = []  # from the leaves' parents to the root
+        while len(high) > 1 or not self.levels:
+            cuts = np.arange(0, len(high), LEAF)
+            high, small, large = np.maximum.reduceat(high, cuts, axis=0), np.minimum.reduceat(small, cuts), np.maximum.reduceat(large, cuts)
+            self.levels.append((high, small, large))
 
     def near(self, point: np.ndarray, similarity: float) -> np.ndarray:
-        """Indices of the points whose overlap with ``point`` may reach the similarity."""
+        """Indices of the points whose overlap with ``point`` may reach the similarity: summed minima
+        bound the overlap, and a node is left as soon as its box cannot reach it."""
         n = point.sum()
         need = similarity / (1 + similarity)
-        boxes = np.minimum(self.high, point).sum(1) >= need * (n + self.small)
-        boxes &= (self.small <= n / similarity) & (self.large >= n * similarity)
-        found = []
-        for k in np.flatnonzero(boxes):
-            a, b = self.cuts[k], self.cuts[k + 1]
-            bound = np.minimum(self.points[a:b], point).sum(1)
-            found.append(self.order[a:b][bound >= need * (n + self.size[a:b])])
-        return np.concatenate(found) if found else np.zeros(0, "int64")
+        held = np.zeros(1, "int64")
+        for i in range(len(self.levels) - 1, -1, -1):
+            high, small, large = (x[held] for x in self.levels[i])
+            ok = (small <= n / similarity) & (large >= n * similarity) & (np.minimum(high, point).sum(1) >= need * (n + small))
+            below = len(self.levels[i - 1][1]) if i else len(self.points)
+            held = (held[ok][:, None] * LEAF + np.arange(LEAF)).ravel()
+            held = held[held < below]
+        held = held[np.minimum(self.points[held], point).sum(1) >= need * (n + self.size[held])]
+        return self.order[held]
 
 
 def page_pairs(ids: np.ndarray, points: np.ndarray, side: np.ndarray | None = None, similarity: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
@@ -163,7 +169,7 @@ def placed(reps: DataFrame) -> DataFrame:
             h = grams(t)
             if not len(h):
                 continue
-            blob = counts(h, COARSE).clip(0, 65535).astype("<u2").tobytes()
+            blob = counts(h, COARSE).astype("<u4").tobytes()
             for k in pages(h):
                 keys.append(k)
                 owners += [i] * len(k)
@@ -184,7 +190,7 @@ def _pairs_of(rows: DataFrame) -> DataFrame:
         def flush(table: pa.Table) -> pa.RecordBatch:
             keys = table.column("page").to_numpy() ^ (table.column("block").to_numpy() * np.int64(0x1F3D5B79))
             ids, side = table.column("id").to_numpy(), table.column("side").to_numpy()
-            points = np.frombuffer(b"".join(table.column("point").to_pylist()), "<u2").reshape(-1, COARSE).astype("int64")
+            points = np.frombuffer(b"".join(table.column("point").to_pylist()), "<u4").reshape(-1, COARSE).astype("int64")
             edges = [0, *(np.flatnonzero(np.diff(keys)) + 1), len(keys)]
             left, right = [], []
             for a, b in zip(edges, edges[1:], strict=False):
@@ -274,28 +280,11 @@ def near_pairs(df: DataFrame, key: str, text: str, similarity: float = SIMILARIT
     return across.unionByName(twins)
 
 
-def components(edges: DataFrame, rounds: int = 30) -> DataFrame:
-    """``(id, root)``: the least id that each id of ``(a, b)`` is connected with. Labels spread and
-    jump to their label's label; each round's labels are checkpointed."""
-    shared_dir(edges.sparkSession)
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-    labels = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("root")).checkpoint()
-    for _ in range(rounds):
-        spread = both.join(labels.select(F.col("id").alias("b"), "root"), "b").groupBy(F.col("a").alias("id")).agg(F.min("root").alias("seen"))
-        lower = labels.join(spread, "id").select("id", "root", F.least("root", "seen").alias("new"))
-        jumped = lower.join(labels.select(F.col("id").alias("new"), F.col("root").alias("far")), "new", "left").select("id", "root", F.least("new", F.coalesce("far", "new")).alias("new")).checkpoint()
-        changed = jumped.where("new <> root").limit(1).count()
-        labels = jumped.select("id", F.col("new").alias("root"))
-        if not changed:
-            break
-    return labels
-
-
 def groups(df: DataFrame, key: str, text: str, similarity: float = SIMILARITY) -> DataFrame:
     """``(id, class_id, links)``: each row with 9-grams, the least id of its group of near-duplicates
     and the number of other representatives it is linked with; copies are not expanded."""
     rows = classes(df, key, text)
     found = similar_reps(rows.where("id = rep").select("id", "text"), similarity).select("a", "b").checkpoint()
     degree = found.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
-    roots = components(found).withColumnRenamed("id", "rep")
+    roots = components(found.select(F.col("a").alias("src"), F.col("b").alias("dst"))).withColumnRenamed("node", "rep")
     return rows.select("id", "rep").join(roots, "rep", "left").join(degree, "rep", "left").select("id", F.coalesce("root", "rep").alias("class_id"), F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))

@@ -31,22 +31,26 @@ OPEN = 0.02
 ROUNDS = 2
 
 
-def lower_bound(sizes: np.ndarray, capacity: int) -> int:
+def lower_bound(sizes: np.ndarray, capacity: int, times: np.ndarray | None = None) -> int:
     """Containers that any packing needs: the best of the plain bound and of the dual feasible
-    functions that round items above C - a up to C, those below a down to 0."""
-    sizes = np.sort(sizes[sizes > 0])
+    functions that round items above C - a up to C, those below a down to 0. ``times`` says how often
+    each size occurs; without it each counts once."""
+    sizes, times = np.asarray(sizes, "int64"), np.ones(len(sizes), "int64") if times is None else np.asarray(times, "int64")
+    order = np.argsort(sizes, kind="stable")
+    order = order[sizes[order] > 0]
+    sizes, times = sizes[order], times[order]
     if not len(sizes):
         return 0
-    total = np.concatenate([[0], np.cumsum(sizes)])
+    total, count = (np.concatenate([[0], np.cumsum(x)]) for x in (sizes * times, times))
     best = -(-int(total[-1]) // capacity)
     for a in np.unique(sizes[sizes <= capacity // 2]):
         big, low = np.searchsorted(sizes, capacity - a, "right"), np.searchsorted(sizes, a, "left")
-        weight = capacity * (len(sizes) - big) + int(total[big] - total[low])
+        weight = capacity * int(count[-1] - count[big]) + int(total[big] - total[low])
         best = max(best, -(-weight // capacity))
-    half = int((sizes > capacity / 2).sum())
+    half = int(times[sizes > capacity / 2].sum())
     for k in range(2, 13):  # the function that counts items in k-ths of the capacity
         scaled = np.where((k + 1) * sizes % capacity == 0, sizes * k, (k + 1) * sizes // capacity * capacity)
-        best = max(best, -(-int(scaled.sum()) // (k * capacity)))
+        best = max(best, -(-int((scaled * times).sum()) // (k * capacity)))
     return max(best, half)
 
 
@@ -124,18 +128,19 @@ def pack(docs: DataFrame, limits: DataFrame, partition: int = PARTITION, rounds:
     base = 0
     for step in range(rounds):
         groups = max(1, parts // EXCHANGE ** (step + 1))
-        slack = (F.col("used") > F.col("bound")) & (F.col("fill") < F.col("capacity") * (1 - OPEN)) & (F.col("tokens") > 0)
+        # A container moves whole, items of size 0 with it, so that what a container holds stays true.
+        slack = (F.col("used") > F.col("bound")) & (F.col("fill") < F.col("capacity") * (1 - OPEN))
         moved = now.where(slack).select("pack_id", "capacity", "doc_id", "piece", "tokens", F.pmod(F.col("part"), F.lit(groups)).alias("to"), "part", "bin")
         kept = now.where(~slack)
         done = kept if done is None else done.unionByName(kept)
         base += parts + 1
-        before = moved.groupBy("pack_id", "to").agg(F.countDistinct("part", "bin").alias("old"))
-        again = _pack(moved.select("pack_id", "capacity", "doc_id", "piece", "tokens", F.col("to").alias("part"))).withColumn("part", F.col("part") + base)
+        before = moved.where("tokens > 0").groupBy("pack_id", "to").agg(F.countDistinct("part", "bin").alias("old"))
+        again = _pack(moved.select("pack_id", "capacity", "doc_id", "piece", "tokens", F.col("to").alias("part"))).withColumn("part", F.col("part") + base).checkpoint()
         better = before.join(again.groupBy("pack_id", (F.col("part") - base).alias("to")).agg(F.max("used").alias("new")), ["pack_id", "to"]).where("new <= old").select("pack_id", "to")
         took = again.withColumn("to", F.col("part") - base).join(better, ["pack_id", "to"], "left_semi").select(now.columns)
         stay = now.where(slack).withColumn("to", F.pmod(F.col("part"), F.lit(groups))).join(better, ["pack_id", "to"], "left_anti").select(now.columns)
         done = done.unionByName(stay).checkpoint()
-        now = took.checkpoint()
+        now = took
         parts = groups
     rows = now if done is None else done.unionByName(now)
     name = F.concat_ws("-", F.col("part").cast("string"), F.col("bin").cast("string"))
@@ -147,10 +152,18 @@ def pack_texts(documents: DataFrame, limits: DataFrame, path: str = VOCABULARY)
 
 
 def quality(packed: DataFrame, limits: DataFrame) -> DataFrame:
-    """``(pack_id, documents, tokens, containers, least, waste)``: least is the volume bound."""
-    bins = packed.where("tokens > 0").groupBy("pack_id", "container").agg(F.sum("tokens").alias("held"))
-    per = bins.groupBy("pack_id").agg(F.count("*").alias("containers"), F.sum("held").alias("tokens"))
+    """``(pack_id, documents, tokens, containers, least, waste)``: least is what the dual feasible
+    functions certify for all items together, from the numbers of items of each size (as many rows as
+    the capacity at most); waste is the share of the containers' room that stays empty."""
+    per = packed.where("tokens > 0").groupBy("pack_id").agg(F.countDistinct("container").alias("containers"), F.sum("tokens").alias("tokens"))
     docs = packed.groupBy("pack_id").agg(F.countDistinct("doc_id").alias("documents"))
-    rows = per.join(docs, "pack_id").join(F.broadcast(limits.select("pack_id", "capacity_tokens").dropDuplicates(["pack_id"])), "pack_id")
-    least = F.ceil(F.col("tokens") / F.col("capacity_tokens")).cast("bigint")
-    return rows.select("pack_id", "documents", "tokens", "containers", least.alias("least"), F.round(1 - F.col("tokens") / (F.col("containers") * F.col("capacity_tokens")), 6).alias("waste"))
+    caps = limits.select("pack_id", "capacity_tokens").dropDuplicates(["pack_id"])
+    sizes = packed.where("tokens > 0").groupBy("pack_id", "tokens").agg(F.count("*").alias("times")).join(F.broadcast(caps), "pack_id")
+
+    def certify(frame: pd.DataFrame) -> pd.DataFrame:
+        least = lower_bound(frame["tokens"].to_numpy(), int(frame["capacity_tokens"].iloc[0]), frame["times"].to_numpy())
+        return pd.DataFrame({"pack_id": frame["pack_id"].iloc[:1], "least": [least]})
+
+    least = sizes.groupBy("pack_id").applyInPandas(certify, "pack_id int, least bigint")
+    rows = per.join(docs, "pack_id").join(F.broadcast(caps), "pack_id").join(least, "pack_id")
+    return rows.select("pack_id", "documents", "tokens", "containers", "least", F.round(1 - F.col("tokens") / (F.col("containers") * F.col("capacity_tokens")), 6).alias("waste"))

@@ -29,6 +29,8 @@ _LINE = re.compile(r"\r?\n")
 _SENTENCE = re.compile(r"[.!?…][\"')\]]*[ \t]+|[。！？]")
 #: Cumulative characters of a bundle after which a new run of pieces begins, in limits.
 SEGMENT = 64
+#: Numbers kept for the pieces of a segment; a segment is one excerpt longer than ``SEGMENT`` at most.
+SEGMENT_PIECES = 1 << 31
 
 
 def boundaries(text: str) -> list[np.ndarray]:
@@ -85,36 +87,19 @@ def with_limits(excerpts: DataFrame, bundles: DataFrame, configs: DataFrame) ->
     return excerpts.join(per_bundle, "bundle_id")
 
 
-def oversized(excerpts: DataFrame, bundles: DataFrame, configs: DataFrame) -> DataFrame:
-    """``(item_kind, item_id)``: excerpts above max_file_chars, those of them that hold an unbroken
-    stretch above it, and bundles whose distinct excerpts together exceed max_total_chars."""
-    smallest = configs.agg(F.min("max_file_chars").alias("smallest"))  # one row
-
-    def measure(batch: pa.RecordBatch) -> pa.RecordBatch:
-        runs = [longest_run(t) if t else 0 for t in batch.column(3).to_pylist()]
-        return pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(runs, pa.int32())], ["excerpt_id", "bundle_id", "n", "longest"])
-
-    sized = excerpts.select("excerpt_id", "bundle_id", F.coalesce(F.length("text"), F.lit(0)).alias("n"), "text").join(F.broadcast(smallest))
-    large = F.col("n") > F.col("smallest")
-    sized = sized.withColumn("text", F.when(large, F.col("text"))).drop("smallest")  # short texts need no look
-    rows = once(map_batches(sized, measure, "excerpt_id bigint, bundle_id bigint, n int, longest int"), "excerpt_id")
-    rows = with_limits(rows, bundles, configs)
-    kinds = F.array(
-        F.when(F.col("n") > F.col("max_file_chars"), F.lit("excerpt")),
-        F.when(F.col("longest") > F.col("max_file_chars"), F.lit("run")),
-    )
-    items = rows.select(F.explode(F.array_compact(kinds)).alias("item_kind"), F.col("excerpt_id").alias("item_id"))
-    totals = rows.groupBy("bundle_id", "max_total_chars").agg(F.sum(F.col("n").cast("bigint")).alias("n"))
-    whole = totals.where(F.col("n") > F.col("max_total_chars")).select(F.lit("bundle").alias("item_kind"), F.col("bundle_id").alias("item_id"))
-    return items.unionByName(whole)
-
-
 _PIECES = T.StructType([
-    T.StructField("item_kind", T.StringType()), T.StructField("item_id", T.LongType()), T.StructField("piece_no", T.IntegerType()),
+    T.StructField("item_kind", T.StringType()), T.StructField("item_id", T.LongType()), T.StructField("piece_no", T.LongType()),
     T.StructField("excerpt_id", T.LongType()), T.StructField("from_char", T.LongType()), T.StructField("to_char", T.LongType()), T.StructField("piece", T.StringType()),
 ])
 
 
+def _long(excerpts: DataFrame, bundles: DataFrame, configs: DataFrame) -> DataFrame:
+    low = configs.agg(F.min("max_file_chars").alias("low"))  # one row
+    long = excerpts.select("excerpt_id", "bundle_id", "text").join(F.broadcast(low), F.length("text") > F.col("low"))
+    rows = with_limits(once(long.drop("low"), "excerpt_id"), bundles, configs).where(F.length("text") > F.col("max_file_chars"))
+    return rows.select("excerpt_id", "text", "max_file_chars", "overlap_chars")
+
+
 def excerpt_pieces(excerpts: DataFrame, bundles: DataFrame, configs: DataFrame) -> DataFrame:
     """Pieces of each excerpt above its max_file_chars; offsets are within the excerpt. Only the
     oversized texts leave the JVM, and no text is shuffled but to be joined with its limit."""
@@ -126,13 +111,30 @@ def excerpt_pieces(excerpts: DataFrame, bundles: DataFrame, configs: DataFrame)
                 out.append(("excerpt", key, no, key, a, b, text[a:b]))
         return _rows(out)
 
-    low = configs.agg(F.min("max_file_chars").alias("low"))
-    long = excerpts.select("excerpt_id", "bundle_id", "text").join(F.broadcast(low), F.length("text") > F.col("low"))
-    rows = with_limits(once(long.drop("low"), "excerpt_id"), bundles, configs).where(F.length("text") > F.col("max_file_chars"))
-    return map_batches(rows.select("excerpt_id", "text", "max_file_chars", "overlap_chars"), fn, _PIECES.simpleString()[7:-1].replace(":", " "))
+    return map_batches(_long(excerpts, bundles, configs), fn, _PIECES.simpleString()[7:-1].replace(":", " "))
+
+
+def oversized(excerpts: DataFrame, bundles: DataFrame, configs: DataFrame) -> DataFrame:
+    """``(item_kind, item_id)``: the items that ``cut`` divides, excerpts and bundles, and as ``run``
+    the divided excerpts in whose token offsets one token alone exceeds the limit."""
 
+    def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
+        kinds, keys = [], []
+        for key, text, limit, overlap in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            if len(split_text(text, limit, overlap)) > 1:
+                kinds.append("excerpt")
+                keys.append(key)
+                if longest_run(text) > limit:
+                    kinds.append("run")
+                    keys.append(key)
+        return pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(keys, pa.int64())], ["item_kind", "item_id"])
+
+    items = map_batches(_long(excerpts, bundles, configs), fn, "item_kind string, item_id bigint")
+    whole = bundle_pieces(excerpts, bundles, configs, brief=True).groupBy("item_kind", "item_id").agg(F.sum("pieces").alias("pieces")).where("pieces > 1").drop("pieces")
+    return items.unionByName(whole)
 
-def bundle_pieces(excerpts: DataFrame, bundles: DataFrame, configs: DataFrame) -> DataFrame:
+
+def bundle_pieces(excerpts: DataFrame, bundles: DataFrame, configs: DataFrame, brief: bool = False) -> DataFrame:
     """Pieces of each bundle above its max_total_chars, as spans over the bundle's excerpts in order
     of id: one row for each piece and excerpt that it touches, offsets within the excerpt.
 
@@ -140,6 +142,8 @@ def bundle_pieces(excerpts: DataFrame, bundles: DataFrame, configs: DataFrame) -
     excerpt's end is a natural boundary), so that no task holds more than that and one excerpt,
     however large the bundle. A later segment begins with the last characters of the excerpts before
     it, as many as the overlap asks for, so that the pieces on both sides of the seam share them.
+    ``piece_no`` rises along the bundle, with gaps at the seams. ``brief``: ``(item_kind, item_id,
+    segment, pieces)``, the number of pieces of each segment.
     """
     slim = once(excerpts.select("excerpt_id", "bundle_id", "text").where(F.length("text") > 0), "excerpt_id")
     rows = with_limits(slim.select("excerpt_id", "bundle_id", F.length("text").cast("bigint").alias("n")), bundles, configs)
@@ -164,20 +168,22 @@ def bundle_pieces(excerpts: DataFrame, bundles: DataFrame, configs: DataFrame) -
         limit, overlap = table.column("max_total_chars")[0].as_py(), table.column("overlap_chars")[0].as_py()
         starts = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
         kinds = [starts[1:-1], *(np.concatenate(x) for x in zip(*([k + s for k in boundaries(t)] for t, s in zip(texts, starts, strict=False)), strict=True))]
-        out = []
-        for no, (a, b) in enumerate(cut(int(starts[-1]), kinds, limit, overlap)):
+        out, spans = [], cut(int(starts[-1]), kinds, limit, overlap)
+        if brief:
+            return pa.table({"item_kind": ["bundle"], "item_id": pa.array([bundle], pa.int64()), "segment": pa.array([segment], pa.int64()), "pieces": pa.array([len(spans)], pa.int64())})
+        for no, (a, b) in enumerate(spans):
             for i in range(int(np.searchsorted(starts, a, "right")) - 1, len(ids)):
                 if starts[i] >= b:
                     break
                 lo, hi = max(0, a - int(starts[i])), min(len(texts[i]), b - int(starts[i]))
                 if hi > lo:
-                    out.append(("bundle", bundle, segment * 100_000 + no, ids[i], skips[i] + lo, skips[i] + hi, texts[i][lo:hi]))
+                    out.append(("bundle", bundle, segment * SEGMENT_PIECES + no, ids[i], skips[i] + lo, skips[i] + hi, texts[i][lo:hi]))
         return _rows(out)
 
-    return rows.groupBy("bundle_id", "segment").applyInArrow(fn, _PIECES)
+    return rows.groupBy("bundle_id", "segment").applyInArrow(fn, "item_kind string, item_id bigint, segment bigint, pieces bigint" if brief else _PIECES)
 
 
 def _rows(rows: list[tuple]) -> pa.Table:
-    types = [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+    types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
     columns = zip(*rows, strict=True) if rows else [[] for _ in types]
     return pa.table([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=_PIECES.names)

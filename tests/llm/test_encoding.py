@@ -29,9 +29,20 @@ def test_appending_extends_the_prefix_array():
     assert ENCODER.read(ENCODER.extend(data, last)) == ENCODER.read(ENCODER.extend(data, []))
 
 
-def test_edit_encodes_the_new_text():
-    text, ids = ENCODER.edit("the scheduler runs", 4, 9, "loader")
-    assert text == "the loader runs" and ids == REFERENCE.encode_ordinary(text)
+@settings(max_examples=300, deadline=None)
+@given(st.text("ab '1.\n字s", max_size=40), st.integers(0, 40), st.integers(0, 10), st.text("ab '1.\n字s", max_size=6))
+def test_edit_gives_the_ids_of_the_new_text(text, at, removed, added):
+    at = min(at, len(text))
+    new = ENCODER.edit(ENCODER.start(text), at, min(removed, len(text) - at), added)
+    assert new.text == text[:at] + added + text[at + removed :]
+    assert new.flat() == REFERENCE.encode_ordinary(new.text) and new.ends == ENCODER.start(new.text).ends
+
+
+def test_edit_encodes_only_near_the_edit(monkeypatch):
+    old, asked = ENCODER.start("the scheduler runs many jobs " * 50), []
+    monkeypatch.setattr(ENCODER, "pieces", type("P", (), {"__getitem__": lambda self, k: asked.append(k) or ENCODER._piece(k)})())
+    new = ENCODER.edit(old, 700, 3, "loader")
+    assert new.flat() == REFERENCE.encode_ordinary(new.text) and len(asked) < 8
 
 
 def test_null_empty_and_repeated_rows(spark):

@@ -69,7 +69,15 @@ def test_empty_table(spark):
     assert neardup.near_pairs(df, "key", "text").collect() == neardup.groups(df, "key", "text").collect() == []
 
 
-@pytest.mark.parametrize("n", [1, 5])
-def test_components(spark, n):
-    edges = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(100, 101)], "a bigint, b bigint")
-    assert {r.id: r.root for r in neardup.components(edges).collect()} == {**{i: 0 for i in range(n + 1)}, 100: 100, 101: 100}
+def test_a_tree_of_several_levels_leaves_out_what_cannot_reach(spark):
+    rng = np.random.default_rng(5)
+    points = rng.integers(0, 400, (3000, 1)) * rng.integers(0, 2, (3000, 8))
+    tree = neardup.CountTree(points)
+    assert len(tree.levels) == 3 and len(tree.levels[-1][1]) == 1
+    asked = [len(tree.near(q, 0.65)) for q in points[:50]]
+    assert sum(asked) < 0.5 * 50 * len(points)
+
+
+def test_counts_above_two_bytes_keep_the_bound():
+    point = np.array([[70_000] * 8, [70_000] * 7 + [1]])
+    assert list(zip(*neardup.page_pairs(np.array([1, 2]), point))) == [(1, 2)]

@@ -1,3 +1,4 @@
+import random
 from itertools import product
 
 import numpy as np
@@ -52,3 +53,24 @@ def test_everything_is_packed_within_capacity(spark):
 def test_empty_table(spark):
     limits = spark.createDataFrame([(1, 100)], "pack_id int, capacity_tokens int")
     assert packing.pack(spark.createDataFrame([], "doc_id bigint, tokens bigint"), limits).collect() == []
+
+
+def test_used_tokens_are_what_a_container_holds(spark):
+    rng = random.Random(8)
+    docs = spark.createDataFrame([(i, rng.choice([0, 0, rng.randint(20, 70), 300])) for i in range(900)], "doc_id bigint, tokens bigint")
+    limits = spark.createDataFrame([(0, 100), (1, 256)], "pack_id int, capacity_tokens int")
+    packed = packing.pack(docs, limits, partition=60).cache()
+    held = {}
+    for r in packed.collect():
+        held.setdefault((r.pack_id, r.container, r.used_tokens), []).append(r.tokens)
+    assert all(sum(v) == used for (_, _, used), v in held.items()) and len({k[:2] for k in held}) == len(held)
+    assert packed.select("pack_id", "doc_id").distinct().count() == 1800
+    for r in packing.quality(packed, limits).collect():
+        assert r.least <= r.containers and r.documents == 900
+
+
+def test_bound_over_counted_sizes():
+    rng = np.random.default_rng(2)
+    sizes = rng.integers(1, 90, 200)
+    kinds, times = np.unique(sizes, return_counts=True)
+    assert packing.lower_bound(kinds, 100, times) == packing.lower_bound(sizes, 100)

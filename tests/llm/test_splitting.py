@@ -69,7 +69,7 @@ def test_pieces_overlap_across_segments(spark, monkeypatch, sizes, overlap):
     for i, x in texts.items():
         starts[i], before = before, before + len(x)
     rows = splitting.bundle_pieces(excerpts, bundles, configs).collect()
-    assert before > splitting.SEGMENT * 10 and len({r.piece_no // 100_000 for r in rows}) > 1 and all(r.piece == texts[r.excerpt_id][r.from_char : r.to_char] for r in rows)
+    assert before > splitting.SEGMENT * 10 and len({r.piece_no // splitting.SEGMENT_PIECES for r in rows}) > 1 and all(r.piece == texts[r.excerpt_id][r.from_char : r.to_char] for r in rows)
     spans = {}
     for r in rows:
         spans.setdefault(r.piece_no, []).append((starts[r.excerpt_id] + r.from_char, starts[r.excerpt_id] + r.to_char))
