@@ -10,25 +10,31 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> None:
-    """Checkpoints go to the folder that the session names; to a local one only where it names none."""
+    """Checkpoints go to the folder that the session names; a local session that names none gets a
+    local folder, a cluster must name one that all executors reach."""
     if spark.sparkContext.getCheckpointDir():
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         import tempfile
 
         named = tempfile.mkdtemp(prefix="marlstone-")
     spark.sparkContext.setCheckpointDir(named)
 
 
-def closure(roots: DataFrame, edges: DataFrame, depth: int = 64) -> DataFrame:
+def closure(roots: DataFrame, edges: DataFrame, depth: int | None = None, expand: str | None = None) -> DataFrame:
     """G1: ``(node, level, parent)`` reached from ``roots(node)`` over ``edges(src, dst)``, the first
-    reach wins and ties go to the least parent. One join of the frontier a level; the frontier is
-    checkpointed, so that lineage does not grow."""
+    reach wins and ties go to the least parent. ``expand`` is a condition on ``edges`` that an edge
+    needs to be followed. One join of the frontier a level, until nothing is reached or ``depth``;
+    the frontier is checkpointed, so that lineage does not grow."""
     shared_dir(roots.sparkSession)
+    edges = edges.where(expand) if expand else edges
     seen = roots.select("node", F.lit(0).alias("level"), F.lit(None).cast(roots.schema["node"].dataType).alias("parent")).distinct().checkpoint()
-    frontier = seen
-    for level in range(1, depth + 1):
+    frontier, level = seen, 0
+    while depth is None or level < depth:
+        level += 1
         step = frontier.select(F.col("node").alias("src")).join(edges, "src").groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("parent"))
         frontier = step.join(seen.select("node"), "node", "left_anti").select("node", F.lit(level).alias("level"), "parent").checkpoint()
         if frontier.isEmpty():
@@ -37,21 +43,24 @@ def closure(roots: DataFrame, edges: DataFrame, depth: int = 64) -> DataFrame:
     return seen
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
-    """``(node, root)``, the least node that each is connected with."""
+def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
+    """``(node, root)``, the least node that each is connected with. Labels spread to neighbours
+    and jump to their label's label until nothing changes, about the logarithm of the longest path
+    in rounds; an unfinished search raises. The few distinct labels of a round are joined with
+    their own labels first, so a giant component is one row there and no hot key."""
     shared_dir(edges.sparkSession)
     both = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).unionByName(edges.select(F.col("dst").alias("a"), F.col("src").alias("b"))).distinct().checkpoint()
     labels = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")).checkpoint()
     for _ in range(rounds):
         seen = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("seen"))
         lower = labels.join(seen, "node").select("node", "root", F.least("root", "seen").alias("new"))
-        far = labels.select(F.col("node").alias("new"), F.col("root").alias("far"))
+        far = lower.select("new").distinct().join(labels.select(F.col("node").alias("new"), F.col("root").alias("far")), "new")
         new = lower.join(far, "new", "left").select("node", "root", F.least("new", F.coalesce("far", "new")).alias("new")).checkpoint()
         done = new.where("new <> root").isEmpty()
         labels = new.select("node", F.col("new").alias("root"))
         if done:
-            break
-    return labels
+            return labels
+    raise RuntimeError(f"components not settled after {rounds} rounds")
 
 
 def covers(groups: list[frozenset], chosen: set) -> bool:

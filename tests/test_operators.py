@@ -104,6 +104,16 @@ def test_closure_and_components(spark):
     assert G.closure(spark.createDataFrame([], "node bigint"), edges).collect() == []
 
 
+def test_long_paths_and_limits(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(90)], "src bigint, dst bigint")
+    assert {r.root for r in G.components(edges).collect()} == {0}
+    with pytest.raises(RuntimeError):
+        G.components(edges, rounds=1)
+    root = spark.createDataFrame([(80,)], "node bigint")
+    assert G.closure(root, edges).count() == 11 and G.closure(root, edges, depth=3).count() == 4
+    assert G.closure(root, edges, expand="src <> 82").count() == 3
+
+
 def test_witnesses_are_minimal(spark):
     rng = random.Random(5)
     for _ in range(30):
