@@ -1,7 +1,8 @@
 """Credentials in source text, configuration, manifests and documents, and their redaction.
 
-Method: a lexical scan finds identifiers whose last words name a credential, header and flag names
-among them, and takes the literal that is assigned or passed to them; user information of URLs,
+Method: source text is divided into code, comments and literals by its lexer. Identifiers whose last
+words name a credential, header and flag names among them, are tokens of one of these; the tokens behind
+an identifier are read in turn, and the literal that is assigned or passed to it is taken; user information of URLs,
 authorization schemes and private-key blocks are lexical forms of their own. Literals that are
 placeholders, references, digests or plain words are dropped. Only the literal's contents are
 replaced, so that delimiters, schemes, addresses and escapes stay as they were.
@@ -13,6 +14,7 @@ record that was delivered again counts once.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from functools import lru_cache
 
 import pyarrow as pa
@@ -20,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .base import map_batches
+from .lexing import BASH, actual, claimed, regions
 
 # --- fixed values: words that name a credential when they end an identifier ------------------------
 _NAMES = (
@@ -36,6 +39,8 @@ _PLACEHOLDER = re.compile(
 _REFERENCE = re.compile(r"^(?:\$|%\w+%$|@\w+@$|\{\{|\{%|#\{|<%|!\w+|&\w|ENC\[|vault:|env[:.(]|file:|ref[:+]|arn:|ssm:|op://|secretref:|process\.env|os\.environ|os\.getenv|getenv|import\.meta|System\.|config\.|self\.|this\.|args\.|settings\.|secrets\.)|\$\{|\$\(|\{\{|\}\}")
 _DIGEST = re.compile(r"(?i)^(?:sha(?:1|224|256|384|512)?|md5|blake2[bs]?|crc32)[:$-]|^\$(?:1|2[aby]|5|6|argon2id?)\$|^https?://|^ssh-(?:rsa|ed25519|dss) |BEGIN (?:\w+ )*(?:PUBLIC KEY|CERTIFICATE)")
 
+#: Four consonants in a row: words run together seldom have them, random letters mostly do.
+_CLUSTER = re.compile(r"(?i)[b-df-hj-np-tv-xz]{4}")
 #: Every name above contains one of these; plain substring search finds them.
 _STEMS = ("pass", "pwd", "pw", "secret", "token", "key", "auth", "credential", "bearer", "jwt", "contrase", "clave", "kennwort", "mot_de", "motde", "mdp", "senha", "пароль", "токен", "密码", "口令", "密钥", "令牌", "パスワード")
 _TAIL = re.compile(r"[\w-]*")
@@ -55,6 +60,7 @@ _SCHEME = re.compile(r"(?i)(?:Bearer|Token|Basic|ApiKey|Api-Key|Digest|Key|Negot
 _URL = re.compile(r"[A-Za-z][A-Za-z0-9+.-]{1,20}://[^\s/:@\"'`<>]*:(?P<v>[^\s/@\"'`<>]+)@(?=[\w\[$<{])")
 _PRIVATE = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----[\s\S]*?-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _LOGIN = re.compile(r"(?:^|[ \t])(?:-u|--user|--basic)[ =][\"']?[^\s:\"'$]+:(?P<v>[^\s\"'@]+)")
+_TOOLS = ("sshpass", "mysql", "mongo", "redis-cli", "ldapsearch")
 _CLI = re.compile(r"(?:sshpass|mysql|mysqldump|mongo|redis-cli|ldapsearch)\b[^\n|;&]*?[ \t](?:-p|-w|-a)[ ]?[\"']?(?P<v>[^\s\"'-][^\s\"']*)")
 
 
@@ -90,65 +96,74 @@ def is_credential(value: str, bare: bool) -> bool:
         return True
     mixed = any(c.islower() for c in value) and any(c.isupper() for c in value)
     turns = sum(a.isupper() != b.isupper() for a, b in zip(value, value[1:], strict=False))
-    return letters and len(value) >= 8 and (mixed and (len(value) >= 20 or turns >= 5 and value.isalpha()) or not re.fullmatch(r"[\w .,/-]+", value) and not re.search(r"[(){}\[\]]", value))
+    return letters and len(value) >= 8 and (mixed and (len(value) >= 20 or value.isalpha() and (turns >= 5 or turns >= 3 and _CLUSTER.search(value))) or not re.fullmatch(r"[\w .,/-]+", value) and not re.search(r"[(){}\[\]]", value))
+
+
+class Segments:
+    """Where a text is code, comment, literal or plain. Without a language all of it is plain."""
+
+    def __init__(self, text: str, code: str | None):
+        self.regions = regions(text, code) if code else []
+        self.starts = [r.start for r in self.regions]
+        self.code = code
+
+    def at(self, place: int) -> tuple[str, int, int]:
+        """``(kind, start, end)`` of the segment of a place; code segments end where the next region's
+        content begins."""
+        if not self.code:
+            return "plain", 0, 1 << 62
+        i = bisect_right(self.starts, place) - 1
+        if i >= 0 and place < self.regions[i].end:
+            return self.regions[i].kind, self.regions[i].start, self.regions[i].end
+        return "code", self.regions[i].end if i >= 0 else 0, self.starts[i + 1] if i + 1 < len(self.starts) else 1 << 62
+
+    def literal(self, place: int) -> tuple[int, int] | None:
+        """The content of the literal whose opening delimiter is at a place of code."""
+        i = bisect_right(self.starts, place)
+        for r in self.regions[i : i + 1]:
+            if r.kind == "literal" and r.start - place <= 3:
+                return r.start, r.end
+        return None
 
 
 def find(text: str, code: str | None = None) -> list[tuple[int, int]]:
-    """Spans of the credentials of a text, in order and apart. ``code`` names a language in which
-    only quoted literals are values; elsewhere the rest of a ``name=value`` line is one too."""
+    """Spans of the credentials of a text, in order and apart. With a language the text is divided
+    into code, comments and literals first. In code a value is the literal token that is assigned or
+    passed to the identifier (in shell code a word too); in comments, literals and plain text it is
+    the quoted part or the word that follows."""
     spans = [m.span() for m in _PRIVATE.finditer(text)] if "PRIVATE KEY" in text else []
     if "://" in text:
         spans += [m.span("v") for m in _URL.finditer(text) if is_credential(m["v"], False) or (len(m["v"]) >= 6 and not _REFERENCE.search(m["v"]) and not _PLACEHOLDER.search(m["v"]) and not m["v"].isdigit())]
     if "-u" in text or "--user" in text:
         spans += [m.span("v") for m in _LOGIN.finditer(text) if is_credential(m["v"], False)]
+    if any(tool in text for tool in _TOOLS):
+        spans += [m.span("v") for m in _CLI.finditer(text) if is_credential(m["v"], False)]
     size, done = len(text), 0
     low = text.lower()
     if len(low) != size:  # a few letters change their length
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-    for stem_end in _stem_ends(low):
+    ends = _stem_ends(low)
+    parts = Segments(text, code) if ends else None
+    for stem_end in ends:
         if stem_end <= done:
             continue
-        end = _TAIL.match(text, stem_end).end()
+        kind, low_at, high_at = parts.at(stem_end - 1)
+        end = min(_TAIL.match(text, stem_end).end(), high_at)
         start = stem_end
-        while start and start > stem_end - 80 and (text[start - 1].isalnum() or text[start - 1] in "_-"):
+        while start > low_at and start > stem_end - 80 and (text[start - 1].isalnum() or text[start - 1] in "_-"):
             start -= 1
         done = end
         if end - start > 80 or not names_credential(text[start:end]):
             continue
-        flag = text.startswith("--", start)
-        default = _DEFAULT.match(text, end) if text[start - 2 : start] == "${" else None
         if text[start - 2 : start] == "${":
+            default = _DEFAULT.match(text, end)
             if default:
                 spans += _value(text, *default.span("v"), True)
             continue
-        b = _BETWEEN.match(text, end)
-        if not b:
-            continue
-        gap, sep, close = b["gap"] is not None, b["sep"], b["close"]
-        if gap and not flag or sep == "," and not close.strip("\\]") or sep == "(" and close:
-            continue
-        place = b.end()
-        q = _QUOTED.match(text, place)
-        if q and q["v"] is not None:
-            a, z = q.span("v")
-            spans += _value(text, a, z, False)
-            continue
-        bare = _BARE.match(text, place)
-        if not bare or sep in ("(", ",") or b["typed"]:
-            continue
-        a, z = bare.span()
-        if code in ("python", "javascript", "typescript") and not _in_text(text, start):
-            continue
-        inside = close.startswith("\\") or _in_text(text, start)
-        for stop in ";&|" if inside or code == "bash" or gap else ";":
-            cut = text.find(stop, a, z)
-            if cut > a and (inside or code == "bash" or gap or cut == z - 1):
-                z = cut
-        while z > a and text[z - 1] in ",)}]>\\":
-            z -= 1
-        if _SCHEME.match(text, a, size):
-            z = size if (line := text.find("\n", a)) < 0 else line
-        spans += _value(text, a, z, True)
+        # A literal that is nothing but the name is a key: what follows its delimiter is code again.
+        is_key = kind == "literal" and start == low_at and end == high_at
+        kind = "code" if is_key else kind
+        spans += _assigned(text, start, end, kind, code, parts)
     spans.sort()
     apart: list[tuple[int, int]] = []
     for a, z in spans:
@@ -157,6 +172,41 @@ def find(text: str, code: str | None = None) -> list[tuple[int, int]]:
     return apart
 
 
+def _assigned(text: str, start: int, end: int, kind: str, code: str | None, parts: Segments) -> list[tuple[int, int]]:
+    """The credential that is assigned or passed to the name ``text[start:end]``: the tokens behind it
+    are read one by one, what closes the name, a type, a separator, then the value."""
+    b = _BETWEEN.match(text, end)
+    if not b:
+        return []
+    gap, sep, close = b["gap"] is not None, b["sep"], b["close"]
+    if gap and not text.startswith("--", start) or sep == "," and not close.strip("\\]") or sep == "(" and close:
+        return []
+    place = b.end()
+    if kind == "code":
+        literal = parts.literal(place)
+        if literal:
+            return _value(text, *literal, False)
+        if code != BASH:
+            return []
+    q = _QUOTED.match(text, place)
+    if q:
+        return _value(text, *q.span("v"), False)
+    bare = _BARE.match(text, place)
+    if not bare or sep in ("(", ",") or b["typed"]:
+        return []
+    a, z = bare.span()
+    inside = close.startswith("\\") or kind in ("comment", "literal") or kind == "plain" and _quoted_line(text, start)
+    for stop in ";&|" if inside or code == BASH or gap else ";":
+        cut = text.find(stop, a, z)
+        if cut > a and (inside or code == BASH or gap or cut == z - 1):
+            z = cut
+    while z > a and text[z - 1] in ",)}]>\\":
+        z -= 1
+    if _SCHEME.match(text, a, len(text)):
+        z = len(text) if (line := text.find("\n", a)) < 0 else line
+    return _value(text, a, z, True)
+
+
 def _value(text: str, a: int, z: int, bare: bool) -> list[tuple[int, int]]:
     """The span of the credential within a literal, past an authorization scheme."""
     scheme = _SCHEME.match(text, a, z)
@@ -171,35 +221,47 @@ def _value(text: str, a: int, z: int, bare: bool) -> list[tuple[int, int]]:
     return [(a, z)] if is_credential(text[a:z], bare) and "://" not in text[a:z] else []
 
 
-def _in_text(text: str, at: int) -> bool:
-    """Whether a place of code lies in a comment or an open literal of its line."""
+def _quoted_line(text: str, at: int) -> bool:
+    """Whether a place of a plain text stands behind a comment sign or within quotes of its line, where
+    a separator ends a value."""
     head = text[text.rfind("\n", 0, at) + 1 : at]
-    stripped = head.lstrip()
-    if stripped[:1] in ("#", "*") or stripped[:2] in ("//", "/*") or " # " in head or " // " in head:
+    opened = head.lstrip()
+    if opened[:1] in ("#", "*") or opened[:2] in ("//", "/*") or " # " in head or " // " in head:
         return True
-    return any(head.count(q) % 2 for q in "\"'`")
+    quote = ""
+    for c in head:
+        quote = "" if c == quote else quote or (c if c in "\"'`" else "")
+    return bool(quote)
 
 
 def redact(text: str | None, code: str | None = None, mark: str = "REDACTED") -> str | None:
-    """The text with each credential's characters replaced; everything else stays as it was."""
+    """The text with each credential's characters replaced wherever they stand, named or not;
+    everything else stays as it was."""
     if not text:
         return text
+    spans = find(text, code)
+    for value in {text[a:z] for a, z in spans if z - a >= 8}:
+        at = text.find(value)
+        while at >= 0:
+            z = at + len(value)
+            if not (text[at - 1 : at].isalnum() or text[z : z + 1].isalnum()):
+                spans.append((at, z))
+            at = text.find(value, z)
     parts, at = [], 0
-    for a, z in find(text, code):
-        parts += [text[at:a], mark]
-        at = z
+    for a, z in sorted(spans, key=lambda s: (s[0], -s[1])):
+        if a >= at:
+            parts += [text[at:a], mark]
+            at = z
     return "".join([*parts, text[at:]])
 
 
 #: What the JVM looks for before a text is handed to Python: a stem or a URL with user information.
-_NEAR = "(?i)" + "|".join(_STEMS) + r"|://[^\s/@]*:|-u |--user"
+_NEAR = "(?i)" + "|".join(_STEMS) + r"|://[^\s/@]*:|-u |--user|" + "|".join(_TOOLS)
 
 
 def secrets(df: DataFrame, key: str, text: str, path: str | None, language: str | None = None, redacted: bool = False) -> DataFrame:
     """``(rec_id, secret)``, or with ``redacted`` one row ``(rec_id, found, redacted)`` for each
     record that holds a credential. Rows without a credential-like word never leave the JVM."""
-    from .lexing import actual, claimed
-
     columns = df.select(
         F.col(key).cast("bigint").alias("k"), F.col(text).alias("t"), (F.col(path) if path else F.lit(None).cast("string")).alias("p"), (F.col(language) if language else F.lit(None).cast("string")).alias("l")
     ).where(F.col("t").isNotNull() & F.col("t").rlike(_NEAR))

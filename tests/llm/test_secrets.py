@@ -51,3 +51,22 @@ def test_tables(spark):
     red = {r.rec_id: r.redacted for r in secrets.corpus_secrets(x, o, s, redacted=True).collect()}
     assert red[1] == 'api_key = "REDACTED"'
     assert secrets.corpus_secrets(x.limit(0), o.limit(0), s.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("text,code,want", [
+    ("sshpass -p 'hunter2-Xq91' ssh host", "bash", ["hunter2-Xq91"]),
+    ("run('mysql -u root -pQz81kfLm2 shop')", "python", ["Qz81kfLm2"]),
+    ("password = 'OhwZAKylltnt'\n", "python", ["OhwZAKylltnt"]),
+    ("password = 'getAccessToken'\n", "python", []),
+    ("it's a note: don't\ntoken = 'aB3kd9Lq2x'\n", None, ["aB3kd9Lq2x"]),
+    ("x = 'it\\'s'; token = read()  # api_key=Zk39fj20dk\n", "python", ["Zk39fj20dk"]),
+    ("h = {\"api_key\": \"q\\\"81kfL\"}\n", "python", ["q\\\"81kfL"]),
+    ("const s = `token=${t}`; const password = `Zk39fj20dk`;\n", "javascript", ["Zk39fj20dk"]),
+])
+def test_values_by_lexical_place(text, code, want):
+    assert [text[a:z] for a, z in secrets.find(text, code)] == want
+
+
+def test_redaction_reaches_every_occurrence_and_keeps_the_rest():
+    text = "password = 'Zk39fj20dk'\nlog('Zk39fj20dk', 'Zk39fj20dkx')\n"
+    assert secrets.redact(text, "python") == "password = 'REDACTED'\nlog('REDACTED', 'Zk39fj20dkx')\n"
