@@ -3,8 +3,10 @@
 Method: a character-level hidden Markov model with one state for code and one for each language.
 Emissions are smoothed trigram probabilities, trained on a bounded sample of labelled documents and
 of code; a switch of state costs a constant. Lexing the whole text yields its comments and literal
-values; Viterbi decoding, run over all of a batch's regions at once, is restricted to those, and a
-run of one language state that holds enough words is a passage. Passages come out with their text,
+values. Outside them the state is code and nothing else is allowed, so the best path of a whole file
+is that of each region by itself, any state being free to follow a delimiter; Viterbi decoding is run
+over all of a batch's regions at once, and a run of one language state that holds enough words is a
+passage. Passages come out with their text,
 escapes and margins resolved, and the span of the record that they stand in.
 
 Null and empty texts hold no prose. A record counts once for each language, however often its row
@@ -19,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .base import map_batches
 from .lexing import BASH, JAVASCRIPT, PYTHON, actual, claimed, regions
@@ -29,6 +32,8 @@ STATES = ("code", *LANGUAGES)
 WORDS, CHARACTERS = 5, 8
 #: Labelled documents of each language and code files that the model is fitted on at most.
 SAMPLE = 200
+#: Places whose emissions are held at once.
+BLOCK = 1 << 16
 #: Log cost of a switch of state at a character.
 SWITCH = 12.0
 _BITS = 18
@@ -101,21 +106,30 @@ def decode(model: Model, texts: list[str], switch: float = SWITCH) -> list[np.nd
         codes = [_codes(texts[i]) for i in group]
         sizes = [len(c) for c in codes]
         width = max(sizes)
-        score = np.zeros((len(group), width, len(STATES)), "float32")
-        flat = model.emissions(np.concatenate(codes))
-        place = 0
-        for row, n in enumerate(sizes):
-            score[row, :n] = flat[place : place + n]
-            place += n
+
+        def scores(start: int) -> np.ndarray:
+            """Emissions of ``BLOCK`` places from ``start``, so that a huge literal needs no table of its own size."""
+            head = np.array([10, 10], "uint32")  # before a text stands a line's end, whatever else is in the batch
+            parts = [np.concatenate([head, c])[start : start + 2 + BLOCK] for c in codes]
+            flat, place = model.emissions(np.concatenate(parts)), 0
+            out = np.zeros((len(group), min(BLOCK, width - start), len(STATES)), "float32")
+            for row, part in enumerate(parts):
+                out[row, : max(0, len(part) - 2)] = flat[place + 2 : place + len(part)]
+                place += len(part)
+            return out
+
+        score = scores(0)
         moved = np.zeros((width, len(group), len(STATES)), bool)
         source = np.zeros((width, len(group)), "int8")
         best = score[:, 0].copy()
         for t in range(1, width):
+            if t % BLOCK == 0:
+                score = scores(t)
             top = best.argmax(1)
             jump = best[np.arange(len(group)), top][:, None] - switch
             moved[t] = best < jump
             source[t] = top
-            best = np.maximum(best, jump) + score[:, t]
+            best = np.maximum(best, jump) + score[:, t % BLOCK]
         state = best.argmax(1).astype("int8")
         path = np.empty((len(group), width), "int8")
         rows = np.arange(len(group))
@@ -245,25 +259,20 @@ def fit(documents: DataFrame, excerpts: DataFrame, sample: int = SAMPLE) -> Mode
     """A model from at most ``sample`` documents of each language and as many code files, chosen by
     a hash of their keys. Only this bounded sample reaches the driver."""
     lang = F.lower(F.substring("lang", 1, 2))
-    docs = documents.select(F.xxhash64("doc_id").alias("h"), "doc_id", "text", lang.alias("lang")).where(F.length("text").between(80, 6000) & lang.isin(*LANGUAGES))
-    counts = {r.lang: r["count"] for r in docs.groupBy("lang").count().collect()}
-    samples: dict[str, list[str]] = {}
-    for name in LANGUAGES:
-        rows = _thinned(docs.where(F.col("lang") == name), counts.get(name, 0), sample).orderBy("h", "doc_id").select("text").limit(sample).collect()
-        samples[name] = [_FENCE.sub(" ", r.text) for r in rows]
-    code = excerpts.where((F.col("kind") == "code") & F.length("text").between(80, 20_000)).select(F.xxhash64("excerpt_id").alias("h"), "excerpt_id", "path", "text")
-    files = _thinned(code, code.count(), sample).orderBy("h", "excerpt_id").select("path", "text").limit(sample).collect()
-    samples["code"] = [_code_only(r.text, claimed(r.path)) for r in files]
+    docs = documents.where(F.length("text").between(80, 6000) & lang.isin(*LANGUAGES)).select(lang.alias("state"), F.col("doc_id").alias("key"), "text", F.lit(None).cast("string").alias("path"))
+    code = excerpts.where((F.col("kind") == "code") & F.length("text").between(80, 20_000)).select(F.lit("code").alias("state"), F.col("excerpt_id").alias("key"), "text", "path")
+    rows = docs.unionByName(code).withColumn("h", F.xxhash64("key"))
+    counts = {r.state: r["count"] for r in rows.groupBy("state").count().collect()}  # a row for each state
+    # About twice the sample by a share of the hash's range, then the first of it by rank in each task.
+    shares = F.create_map(*(F.lit(x) for state in STATES for x in (state, min(1.0, 2 * sample / max(1, counts.get(state, 0))))))
+    thin = rows.where(F.pmod("h", F.lit(1 << 40)) <= shares[F.col("state")] * float(1 << 40))
+    first = thin.withColumn("place", F.row_number().over(Window.partitionBy("state").orderBy("h", "key", "text"))).where(F.col("place") <= sample)
+    samples: dict[str, list[str]] = {state: [] for state in STATES}
+    for r in sorted(first.collect(), key=lambda r: (r.state, r.place)):
+        samples[r.state].append(_code_only(r.text, claimed(r.path)) if r.state == "code" else _FENCE.sub(" ", r.text))
     return Model.fit(samples)
 
 
-def _thinned(rows: DataFrame, count: int, sample: int) -> DataFrame:
-    """About twice the sample by a share of the hash's range, so that the driver gets no sample of
-    each partition however many there are."""
-    share = 2 * sample / max(1, count)
-    return rows if share >= 1 else rows.where(F.pmod("h", F.lit(1 << 40)) < int(share * (1 << 40)))
-
-
 def _code_only(text: str, claim: str | None) -> str:
     """A file without its comments and longer literals."""
     parts, at = [], 0

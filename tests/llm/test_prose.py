@@ -53,6 +53,14 @@ def test_decoding_is_the_brute_force_best_path(model):
     assert tuple(prose.decode(model, [text])[0]) == best
 
 
+@pytest.mark.parametrize("block", [1, 2, 3, 7])
+def test_blocks_do_not_change_the_path(model, monkeypatch, block):
+    texts = ["The loader reads 12 open files. 清理步骤会读取权限清单和报告", "x = 1; y = fetch(x)", "清", "Der Dienst vergleicht den Bericht."]
+    whole = [p.tolist() for p in prose.decode(model, texts)]
+    monkeypatch.setattr(prose, "BLOCK", block)
+    assert [p.tolist() for p in prose.decode(model, texts)] == whole
+
+
 def test_tables(spark, model):
     rows = [(1, CASES[0][0], "a.py", "code", "x"), (1, CASES[0][0], "a.py", "code", "x"), (2, None, "b.js", "code", "x"), (3, "", None, "code", None), (4, CASES[1][0], "c.py", "code", None), (5, CASES[0][0], "d.py", "doc", None)]
     excerpts = spark.createDataFrame(rows, "excerpt_id bigint, text string, path string, kind string, t string")
