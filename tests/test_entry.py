@@ -5,7 +5,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry
-from marlstone.plans import queries as core
+from marlstone.plans import catalogue, queries as core
 
 DATA = "/root/testdata/sf0.001"
 
