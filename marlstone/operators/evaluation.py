@@ -26,6 +26,20 @@ def confusion(df: DataFrame, gold: str, predicted: str, labels: list[str]) -> Da
     return df.groupBy(F.col(gold).alias("gold")).agg(*(F.count_if(F.col(predicted) == v).alias(v.replace("-", "_")) for v in labels))
 
 
+def confusion_cells(df: DataFrame, gold: str, predicted: str, labels: tuple[str, ...]) -> DataFrame:
+    """``(gold, predicted, packages)`` for every pair of labels, 0 where no row has it."""
+    counts = df.groupBy(F.col(gold).alias("gold"), F.col(predicted).alias("predicted")).agg(F.count("*").alias("n"))
+    grid = df.sparkSession.createDataFrame([(a, b) for a in labels for b in labels], "gold string, predicted string")
+    return grid.join(counts, ["gold", "predicted"], "left").select("gold", "predicted", F.coalesce("n", F.lit(0)).alias("packages"))
+
+
+def edge_validity(df: DataFrame, keys: list[str], valid: Column) -> DataFrame:
+    """Share of valid positive edges, of rejected negative ones, and their mean; ``kind`` names the side."""
+    share = lambda side: F.avg(F.when(F.col("kind") == side, valid.cast("int")))
+    rows = df.groupBy(*keys).agg(F.count_if(F.col("kind") == "positive").alias("positives"), F.count_if(F.col("kind") == "negative").alias("negatives"), share("positive").alias("p"), (1 - share("negative")).alias("n"))
+    return rows.select(*keys, "positives", "negatives", F.round("p", 6).alias("positive_valid"), F.round("n", 6).alias("negative_rejected"), F.round((F.col("p") + F.col("n")) / 2, 6).alias("balanced"))
+
+
 def mcnemar(df: DataFrame, a: Column, b: Column) -> DataFrame:
     """Discordant pairs and the exact two-sided p of the binomial tail, capped at 1. The tail is a
     sum over one row, in log space by the log of binomial coefficients."""
