@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import evaluated, reconciled  # noqa: F401
+from . import behaviour, evaluated, reconciled  # noqa: F401
 from .queries import ORACLE, QUERIES  # noqa: F401
