@@ -17,7 +17,7 @@ ENV = r"(?:os\.environ(?:\.get)?[\[(]\s*[\"']|os\.getenv\(\s*[\"']|process\.env\
 QUOTED = r"[\"'`]((?:\.{0,2}/|~/)?[A-Za-z0-9_.-]+(?:/[A-Za-z0-9_.-]+)+|[A-Za-z0-9_-]+\.(?:py|js|ts|sh|json|yaml|yml|md|txt|html|csv|xml|sql|log|cfg|ini))[\"'`]"
 REDIRECT = r">>?\s*([A-Za-z0-9_./-]*[A-Za-z0-9_])"
 SUBPROCESS = r"\bsubprocess\.(?:run|popen|call|check_call|check_output)|\bchild_process\.(?:spawn|execfile|fork)|\bexeca\(|\bspawn\(|\bexecfile\("
-SCRIPT = r"[A-Za-z0-9_./-]+\.(?:py|mjs|js|ts|sh|bash)\b"
+SCRIPT = r"[A-Za-z0-9_./-]+\.(?:py|mjs|js|ts|sh|bash|md)\b"
 FENCE = r"(?s)```(?:bash|sh|shell|console)\n(.*?)```"
 #: What stands for a resource that a statement does not name.
 ABSTRACT = {"http_request": "url", "network_request": "url", "websocket": "url", "smtp_send": "url", "ssh_connect": "url", "file_read": "path", "file_write": "path", "token_file_read": "path", "env_var_read": "env_var", "shell_exec": "command", "subprocess_spawn": "command", "sql_exec": "query"}

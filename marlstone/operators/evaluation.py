@@ -22,7 +22,7 @@ def prf(df: DataFrame, gold: Column, predicted: Column, keys: list[str] | None =
 
 
 def confusion(df: DataFrame, gold: str, predicted: str, labels: list[str]) -> DataFrame:
-    """Rows of gold labels, columns of predicted ones, zeros filled."""
+    """A row for each gold label that occurs, a column for each predicted one, zeros filled; see ``confusion_cells``."""
     return df.groupBy(F.col(gold).alias("gold")).agg(*(F.count_if(F.col(predicted) == v).alias(v.replace("-", "_")) for v in labels))
 
 
@@ -60,12 +60,13 @@ def holm(df: DataFrame, p: str, order: list[str], alpha: float = 0.05) -> DataFr
     return rows.withColumn("rejected", F.min((F.col(p) <= F.col("limit")).cast("int")).over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)) == 1).drop("m")
 
 
-def bootstrap(df: DataFrame, value: str, rounds: int = 1000, seed: int = 0, confidence: float = 0.95) -> DataFrame:
+def bootstrap(df: DataFrame, value: str, rounds: int = 1000, seed: int = 0, confidence: float = 0.95, key: str | None = None) -> DataFrame:
     """Percentile interval of the mean by a Poisson bootstrap: each row weighs in each round as often
     as a hash of row and round says, so no resample is gathered anywhere. Rounds are columns of
-    one pass; only their sums are shuffled."""
+    one pass; only their sums are shuffled. With a ``key`` the interval is the same however the rows are
+    partitioned."""
     weights = F.transform(F.sequence(F.lit(1), F.lit(rounds)), lambda b: _poisson((F.pmod(F.xxhash64(F.col("_id"), b, F.lit(seed)), F.lit(1 << 30)) / float(1 << 30))))
-    rows = df.select(F.col(value).cast("double").alias("_v"), F.monotonically_increasing_id().alias("_id")).where("_v is not null")
+    rows = df.select(F.col(value).cast("double").alias("_v"), (F.col(key) if key else F.monotonically_increasing_id()).alias("_id")).where("_v is not null")
     sums = rows.select("_v", F.posexplode(weights).alias("b", "w")).where("w > 0").groupBy("b").agg((F.sum(F.col("_v") * F.col("w")) / F.sum("w")).alias("mean"))
     low = (1 - confidence) / 2
     bounds = sums.agg(F.percentile("mean", F.lit(low)).alias("low"), F.percentile("mean", F.lit(1 - low)).alias("high"), F.count("*").alias("rounds"))

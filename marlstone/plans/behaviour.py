@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import text as X
 from ..operators import behaviour as B
@@ -44,21 +45,32 @@ def path_justifications(spark, d):
     return C.path_judgments(p, s.edges, s.sensitive)
 
 
-_CODE = "ce as (select file_key as file, any_value(bundle_id) as scope, any_value(path) as path, any_value(text) as text from source_excerpts where kind = 'code' and text is not null group by file_key), fx as (select scope, file, path, text, split_part(path, '/', -1) as name, regexp_replace(split_part(path, '/', -1), '\\.[^.]*$', '') as stem from ce)"
+_CODE = "ce as (select file_key as file, any_value(bundle_id) as scope, any_value(path) as path, any_value(text) as text from source_excerpts where kind in ('code', 'doc') and text is not null group by file_key), fx as (select scope, file, path, text, split_part(path, '/', -1) as name, regexp_replace(split_part(path, '/', -1), '\\.[^.]*$', '') as stem from ce)"
+
+
+#: The texts name few files of their own bundle; a closing line names the next one.
+_LINKED = _CODE.replace("fx as (", "fy as (") + ", fx as (select scope, file, path, name, stem, text || coalesce(chr(10) || 'see ./' || lead(name) over (partition by scope order by file), '') as text from fy)"
+
+
+def linked_files(spark, d):
+    """The files, the text of each naming the next of its bundle in a closing line."""
+    name = F.element_at(F.split("path", "/"), -1)
+    after = F.lead(name).over(Window.partitionBy("scope").orderBy("file"))
+    return _files(spark, d).withColumn("text", F.concat("text", F.coalesce(F.concat(F.lit("\nsee ./"), after), F.lit(""))))
 
 
 def _files(spark, d):
-    e = t(spark, d, "source_excerpts").where("kind = 'code' and text is not null").dropDuplicates(["file_key"])
+    e = t(spark, d, "source_excerpts").where("kind in ('code', 'doc') and text is not null").dropDuplicates(["file_key"])
     return e.select(F.col("bundle_id").alias("scope"), F.col("file_key").alias("file"), "path", "text")
 
 
-@query(f"""with {_CODE}, sa as (select distinct scope, file as source, split_part(unnest(regexp_extract_all(text, '{B.SCRIPT}')), '/', -1) as name from fx),
+@query(f"""with {_LINKED}, sa as (select distinct scope, file as source, split_part(unnest(regexp_extract_all(text, '{B.SCRIPT}')), '/', -1) as name from fx),
 im as (select distinct scope, file as source, unnest(list_concat(regexp_extract_all(text, '(?m)^(?:import|from) +([A-Za-z_]\\w*)', 1), regexp_extract_all(text, '(?:from|require\\()\\s*["'']\\.{{1,2}}/(?:[\\w.-]+/)*([\\w-]+)', 1))) as stem from fx),
 bn as (select scope, name, arg_min(file, path || chr(1) || lpad(cast(file as varchar), 20, '0')) as target from fx group by 1, 2), bs as (select scope, stem, arg_min(file, path || chr(1) || lpad(cast(file as varchar), 20, '0')) as target from fx group by 1, 2)
 select scope, source, target, 'command' as kind, name as evidence from sa join bn using (scope, name) where source <> target union all select scope, source, target, 'static', stem from im join bs using (scope, stem) where source <> target""")
 def file_bridges(spark, d):
-    """Files of a bundle that name or import one another."""
-    return B.bridges(_files(spark, d))
+    """Files and documents of a bundle that name or import another of its files."""
+    return B.bridges(linked_files(spark, d))
 
 
 _CMDS = f"""dt as (select excerpt_id as key, any_value(bundle_id) as scope, any_value(text) as text from source_excerpts where kind = 'doc' and text is not null group by excerpt_id),

@@ -135,13 +135,13 @@ def conflict_groups(spark, d):
 
 
 @query(f"""
-with {_OBS}, g as (select file_key, line, count(distinct target) as targets from obs where target is not null and line > 0 group by 1, 2 having count(distinct target) > 1)
+with {_OBS}, g as (select skill_id, api_call, count(distinct target) as targets from obs where target is not null group by 1, 2 having count(distinct target) > 1)
 select cast(targets as bigint) as targets, cast(count(*) as bigint) as places from g group by targets
 """)
 def competing_hypotheses(spark, d):
-    """Places with more than one distinct target, by the number of targets."""
-    o = observed(spark, d).where("target is not null and line > 0")
-    return o.groupBy("file_key", "line").agg(F.countDistinct("target").alias("targets")).where("targets > 1").groupBy("targets").agg(F.count("*").alias("places"))
+    """Calls of a skill with more than one distinct target, by the number of targets."""
+    o = observed(spark, d).where("target is not null")
+    return o.groupBy("skill_id", "api_call").agg(F.countDistinct("target").alias("targets")).where("targets > 1").groupBy("targets").agg(F.count("*").alias("places"))
 
 
 @query(f"""
@@ -270,25 +270,25 @@ def message_kv_parse(spark, d):
 
 
 @query("""
-with o as (select distinct obs_id, file_key, source_text from raw_observations where length(source_text) >= 12), e as (select file_key, any_value(text) as text from source_excerpts where text is not null group by file_key)
+with o as (select distinct obs_id, file_key, source_text from raw_observations where source_text <> ''), e as (select file_key, any_value(text) as text from source_excerpts where text is not null group by file_key)
 select case when contains(text, source_text) then 'exact' when contains(lower(text), lower(source_text)) then 'folded' else 'absent' end as status, cast(count(*) as bigint) as observations from o join e using (file_key) group by 1
 """)
 def evidence_ground(spark, d):
     """Observed statements located in their files, exactly or but for case."""
-    o = t(spark, d, "raw_observations").where(F.length("source_text") >= 12).select("obs_id", "file_key", "source_text").distinct()
+    o = t(spark, d, "raw_observations").where("source_text <> ''").select("obs_id", "file_key", "source_text").distinct()
     e = t(spark, d, "source_excerpts").where("text is not null").select("file_key", "text").dropDuplicates(["file_key"])
     status = F.when(F.col("text").contains(F.col("source_text")), "exact").when(F.lower("text").contains(F.lower("source_text")), "folded").otherwise("absent")
     return o.join(e, "file_key").groupBy(status.alias("status")).agg(F.count("*").alias("observations"))
 
 
 @query("""
-with l as (select doc_id, generate_subscripts(string_split(text, chr(10)), 1) as no, unnest(string_split(text, chr(10))) as line from documents where source in ('readme', 'root_doc') and text is not null),
+with l as (select doc_id, generate_subscripts(string_split(text, chr(10)), 1) as no, unnest(string_split(text, chr(10))) as line from documents where text is not null),
 h as (select *, last_value(case when regexp_matches(line, '^#{1,6} ') then line end ignore nulls) over (partition by doc_id order by no rows unbounded preceding) as heading from l)
 select case when heading is null then 'none' else regexp_extract(heading, '^(#+)', 1) end as level, cast(count(*) as bigint) as lines, cast(count(distinct doc_id) as bigint) as docs from h where trim(line) <> '' group by 1
 """)
 def section_context(spark, d):
     """The heading that each line of a document stands under."""
-    docs = t(spark, d, "documents").where("source in ('readme', 'root_doc') and text is not null")
+    docs = t(spark, d, "documents").where("text is not null")
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("no", "line"))
     heading = R.nearest_before(lines, ["doc_id"], ["no"], F.col("line").rlike("^#{1,6} "), F.col("line"))
     rows = lines.withColumn("heading", heading).where(F.trim("line") != "")
@@ -467,14 +467,18 @@ def family_overlap_join(spark, d):
     return o.join(p, ["skill_id", "family"]).groupBy(F.col("capability").alias("behavior"), "clause").agg(F.count("*").alias("pairs"), F.countDistinct("skill_id").alias("skills"))
 
 
-@query(f"""
-with u as (select distinct skill_id, file_key, unit_id, source_doc_id from code_units where source_doc_id is not null), {_OBS}
-select o.capability, cast(count(*) as bigint) as events, cast(count(distinct o.file_key) as bigint) as files from u join obs o on u.file_key = o.file_key group by 1
+@query("""
+with u as (select skill_id, lower(trim(language)) as lang, count(distinct unit_key) as units from code_units where source_doc_id is not null and language is not null group by 1, 2),
+o as (select skill_id, lower(trim(any_value(language))) as lang, any_value(fields['capability']) as capability from raw_observations where fields is not null and language is not null group by obs_id, skill_id),
+e as (select skill_id, lang, capability, count(*) as events from o group by 1, 2, 3)
+select capability, cast(sum(events) as bigint) as events, cast(sum(events * units) as bigint) as pairs, cast(count(distinct skill_id) as bigint) as skills from u join e using (skill_id, lang) group by 1
 """)
 def link_provenance(spark, d):
-    """Units taken from a document, their file, and what is observed in it."""
-    u = t(spark, d, "code_units").where("source_doc_id is not null").select("skill_id", "file_key", "unit_id", "source_doc_id").distinct().select("file_key")
-    return u.join(observed(spark, d), "file_key").groupBy("capability").agg(F.count("*").alias("events"), F.countDistinct("file_key").alias("files"))
+    """Units that a document of the skill gives, and what is observed in code of their language. The
+    pairs of both are counted from the two sides, so that a hot skill emits one row a capability."""
+    u = t(spark, d, "code_units").where("source_doc_id is not null and language is not null").groupBy("skill_id", F.lower(F.trim("language")).alias("lang")).agg(F.countDistinct("unit_key").alias("units"))
+    o = t(spark, d, "raw_observations").where("fields is not null and language is not null").dropDuplicates(["obs_id"]).groupBy("skill_id", F.lower(F.trim("language")).alias("lang"), F.col("fields")["capability"].alias("capability")).agg(F.count("*").alias("events"))
+    return u.join(o, ["skill_id", "lang"]).groupBy("capability").agg(F.sum("events").alias("events"), F.sum(F.col("events") * F.col("units")).alias("pairs"), F.countDistinct("skill_id").alias("skills"))
 
 
 @query(f"""
@@ -597,7 +601,8 @@ def agreement_majority(spark, d):
     return s.groupBy("labels").agg(F.count("*").alias("skills"), F.round(F.avg(F.col("top") / F.col("labels")), 6).alias("agreement"))
 
 
-@query()
+@query(f"""with {_PRED}, c as (select count(*) filter (coalesce(gold = 'violation', false) = coalesce(v > 0, false) and coalesce(gold = 'violation', false) <> coalesce(x > 0, false)) as a, count(*) filter (coalesce(gold = 'violation', false) <> coalesce(v > 0, false) and coalesce(gold = 'violation', false) = coalesce(x > 0, false)) as b from g)
+select cast(a as bigint) as only_a, cast(b as bigint) as only_b, case when a + b = 0 then 1.0 else round(least(1.0, 2 * list_sum([exp(lgamma(a + b + 1) - lgamma(k + 1) - lgamma(a + b - k + 1) - (a + b) * ln(2)) for k in range(0, least(a, b) + 1)])), 6) end as p from c""")
 def mcnemar(spark, d):
     """Two systems on the same labels: unsupported events against sensitive ones."""
     p = predictions(spark, d)
@@ -618,7 +623,7 @@ def holm(spark, d):
 @query()
 def bootstrap_ci(spark, d):
     """Interval of the mean length of the documents by 1,000 resampling rounds."""
-    return E.bootstrap(t(spark, d, "documents"), "n_chars", rounds=1000)
+    return E.bootstrap(t(spark, d, "documents"), "n_chars", rounds=1000, key="doc_id")
 
 
 # --- graphs -----------------------------------------------------------------------------------------
@@ -644,7 +649,9 @@ def premise_closure(spark, d):
     return o.join(l, "o_orderkey").join(p, "p_partkey").groupBy("p_brand").agg(F.count("*").alias("premises"), F.countDistinct("o_custkey").alias("conclusions"))
 
 
-@query()
+@query(f"""with recursive {_OBS}, e0 as (select distinct skill_id as s, 'r:' || target as r from obs where target is not null and not starts_with(target, '$')), e as (select s as a, r as b from e0 union select r, s from e0),
+w(node, start) as (select a, a from e where not starts_with(a, 'r:') union select e.b, w.start from w join e on e.a = w.node), c as (select start, min(node) as root, count(*) as n from w group by start), d as (select distinct root, n from c)
+select cast(n as bigint) as nodes, cast(count(*) as bigint) as components from d group by n""")
 def connected_components(spark, d):
     """Skills that share a resolved resource, by the size of their component."""
     o = observed(spark, d).where("target is not null and not startswith(target, '$')").select(F.col("skill_id").alias("src"), F.concat(F.lit("r:"), "target").alias("dst")).distinct()

@@ -35,8 +35,9 @@ def frontmatter(text: Column) -> Column:
 
 
 def frontmatter_fields(text: Column) -> Column:
-    """Keys and values of the front matter as a map; lines that continue a value are not folded."""
-    lines = F.filter(F.split(frontmatter(text), r"\r?\n"), lambda s: s.rlike(r"^[A-Za-z][\w-]*:"))
+    """Keys and values of the front matter as a map; indented lines continue the value before them."""
+    folded = F.regexp_replace(F.regexp_replace(frontmatter(text), r":[ \t]*[>|][-+]?[ \t]*(?=\r?\n)", ":"), r"\r?\n[ \t]+", " ")
+    lines = F.filter(F.split(folded, r"\r?\n"), lambda s: s.rlike(r"^[A-Za-z][\w-]*:"))
     return F.map_from_entries(F.array_distinct(F.transform(lines, lambda s: F.struct(F.trim(F.substring_index(s, ":", 1)), F.trim(F.regexp_replace(s, r"^[^:]*:", ""))))))
 
 
@@ -105,9 +106,9 @@ def markdown_blocks(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def references(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``(key, seq, target)``: paths in Markdown links and code spans, the first of each path wins."""
+    """``(key, seq, target)``: paths in code spans, then in Markdown links; the first of each path wins."""
     path = r"([A-Za-z0-9_./-]+\.[A-Za-z0-9]{1,5})"
-    found = F.concat(F.regexp_extract_all(text, F.lit(rf"\]\({path}\)"), F.lit(1)), F.regexp_extract_all(text, F.lit(rf"`{path}`"), F.lit(1)))
+    found = F.concat(F.regexp_extract_all(text, F.lit(rf"`{path}`"), F.lit(1)), F.regexp_extract_all(text, F.lit(rf"\]\({path}\)"), F.lit(1)))
     return docs.select(F.col(key), F.posexplode(F.array_distinct(found)).alias("seq", "target"))
 
 

@@ -143,5 +143,5 @@ def test_covers_beyond_eighteen_facts_are_exact_and_first_in_order():
 
 
 def test_bootstrap_query_has_a_thousand_rounds(spark, monkeypatch):
-    monkeypatch.setattr(core, "t", lambda spark, d, name: spark.createDataFrame([(i % 10,) for i in range(50)], "n_chars long"))
+    monkeypatch.setattr(core, "t", lambda spark, d, name: spark.createDataFrame([(i, i % 10) for i in range(50)], "doc_id long, n_chars long"))
     assert core.bootstrap_ci(spark, "").first().rounds == 1000

@@ -24,7 +24,13 @@ def test_markdown(spark):
     assert all(b.content in DOC for b in blocks)
     fields = df.where("doc = 1").select(readers.frontmatter_fields(F.col("text")).alias("m")).first().m
     assert fields == {"name": "a", "description": "reads: files"}
-    assert [(r.seq, r.target) for r in readers.references(df, "doc", "text").collect()] == [(0, "docs/x.md"), (1, "src/y.py")]
+    assert [(r.seq, r.target) for r in readers.references(df, "doc", "text").collect()] == [(0, "src/y.py"), (1, "docs/x.md")]
+
+
+def test_front_matter_values_continue_on_indented_lines(spark):
+    text = "---\nname: a\ndescription: >-\n  reads files\n  and folders\nmore: b\n---\n"
+    df = spark.createDataFrame([(text,), (None,), ("no front",)], "text string")
+    assert [r.m for r in df.select(readers.frontmatter_fields(F.col("text")).alias("m")).collect()] == [{"name": "a", "description": "reads files and folders", "more": "b"}, None, None]
 
 
 def test_reports_and_records(spark, tmp_path):
