@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import behaviour, declared, evaluated, reconciled  # noqa: F401
+from . import behaviour, declared, evaluated, reconciled, witnessed  # noqa: F401
 from .queries import ORACLE, QUERIES  # noqa: F401
