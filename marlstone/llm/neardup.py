@@ -16,7 +16,6 @@ group is collected whole.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import components, shared_dir
-from .base import map_batches
+from .base import map_batches, written
 
 GRAM, SIMILARITY = 9, 0.65
 #: Bands of minimum hashes and hashes in each; pages in which a pair must meet.
@@ -149,16 +148,6 @@ def page_pairs(ids: np.ndarray, points: np.ndarray, side: np.ndarray | None = No
     return np.minimum(a, b), np.maximum(a, b)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The table written to the shared checkpoint folder and read again: it outlives lost executors
-    and, in columns, takes a fraction of a checkpoint's room."""
-    spark = df.sparkSession
-    shared_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def placed(reps: DataFrame) -> DataFrame:
     """``(page, id, point)`` of each text, from ``(id, text)`` with normalised texts."""
 
