@@ -5,7 +5,8 @@ import os
 import pytest
 
 import __spark_entry__ as entry
-from marlstone.plans import catalogue, queries as core
+from marlstone.plans import behaviour, declared, evaluated, reconciled, witnessed
+from marlstone.plans import catalogue as core
 
 DATA = "/root/testdata/sf0.001"
 
@@ -26,6 +27,24 @@ def duck():
     return con
 
 
+@pytest.fixture(scope="module", autouse=True)
+def one_run():
+    """The stages of the reconciliation are computed once for all its queries."""
+    kept, plain = {}, reconciled.Stages
+
+    def stages(spark, d):
+        if d not in kept:
+            kept[d] = plain(spark, d)
+        return kept[d]
+
+    modules = (behaviour, declared, evaluated, reconciled, witnessed)
+    for m in modules:
+        m.Stages = stages
+    yield
+    for m in modules:
+        m.Stages = plain
+
+
 def test_registry():
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert set(core.QUERIES) <= set(entry.queries())
