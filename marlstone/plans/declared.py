@@ -79,9 +79,9 @@ select ctype, cvalue, rtype, cast(count(*) as bigint) as pairs, cast(count(*) fi
   when 'env_glob' then rtype = 'env_var' and upper(rvalue) glob cvalue when 'command_glob' then rtype = 'command' and lower(rvalue) glob cvalue else false end) as bigint) as matches from c, h group by 1, 2, 3""")
 def constraint_matches(spark, d):
     """Ten constraints against every distinct resource, the constraints being a fixed small table."""
-    c = spark.createDataFrame(list(_GLOB_CASES), "ctype string, cvalue string")
+    each = F.array(*(F.struct(F.lit(a).alias("ctype"), F.lit(b).alias("cvalue")) for a, b in _GLOB_CASES))
     r = Stages(spark, d).resources.select("rtype", "rvalue").distinct()
-    rows = r.crossJoin(F.broadcast(c))  # ten rows
+    rows = r.withColumn("c", F.explode(each)).select("rtype", "rvalue", "c.*")
     hit = rules.constraint_matches(F.col("ctype"), F.col("cvalue"), F.col("rtype"), F.col("rvalue"))
     return rows.groupBy("ctype", "cvalue", "rtype").agg(F.count("*").alias("pairs"), F.count_if(hit).alias("matches"))
 
