@@ -88,8 +88,9 @@ def hazards(rows: DataFrame, neighbours: int = NEIGHBOURS, rate: float = RATE) -
     low = r.where(F.col("p") <= rate).withColumn("bin", F.floor(-8 * F.log(F.greatest("p", F.lit(1e-300)))))
     bins = low.groupBy("bin").agg(F.count("*").alias("c")).withColumn("less", F.sum("c").over(Window.orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("c")).drop("c")
     tests = r.agg(F.count("*").alias("tests"))
+    low = low.join(F.broadcast(tests))  # one row
     ranked = low.join(bins, "bin").withColumn("place", F.col("less") + F.row_number().over(Window.partitionBy("bin").orderBy("p", "source", "n")))
-    limit = ranked.crossJoin(F.broadcast(tests)).where(F.col("p") <= rate * F.col("place") / F.col("tests")).agg(F.max("p").alias("limit"))  # one row each
+    limit = ranked.where(F.col("p") <= rate * F.col("place") / F.col("tests")).agg(F.max("p").alias("limit"))
     return r.join(F.broadcast(limit)).select("source", "n", "ended", "reached", "torn", "hazard", "around", "p", F.coalesce(F.col("p") <= F.col("limit"), F.lit(False)).alias("significant"))
 
 
