@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from math import comb
+from math import exp, lgamma, log, log1p, pi, sqrt
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -40,14 +40,39 @@ def edge_validity(df: DataFrame, keys: list[str], valid: Column) -> DataFrame:
     return rows.select(*keys, "positives", "negatives", F.round("p", 6).alias("positive_valid"), F.round("n", 6).alias("negative_rejected"), F.round((F.col("p") + F.col("n")) / 2, 6).alias("balanced"))
 
 
+def _stirling(n: int) -> float:
+    """What Stirling's formula leaves of log n!."""
+    if n < 16:
+        return lgamma(n + 1) - (n + 0.5) * log(n) + n - 0.5 * log(2 * pi)
+    return (1 - (1 - (1 - 0.75 / (n * n)) / (3.5 * n * n)) / (30 * n * n)) / (12 * n)
+
+
+def exact_p(n: int, least: int) -> float:
+    """Two-sided p of ``least`` or fewer of n fair tosses, capped at 1, for any n. The largest term comes
+    from Stirling's formula with its remainder, which loses no digits to large logarithms; each further
+    one is a fraction of the one before, and they are added until the sum no longer changes."""
+    if not n:
+        return 1.0
+    if not least:
+        return min(1.0, 2.0 * 0.5**n)
+    off = (2 * least - n) / n
+    apart = n / 2 * ((1 + off) * log1p(off) + (1 - off) * log1p(-off))
+    term = total = sqrt(n / (2 * pi * least * (n - least))) * exp(_stirling(n) - _stirling(least) - _stirling(n - least) - apart)
+    for k in range(least, 0, -1):
+        term *= k / (n - k + 1)
+        if total + term == total:
+            break
+        total += term
+    return min(1.0, 2.0 * total)
+
+
 def mcnemar(df: DataFrame, a: Column, b: Column) -> DataFrame:
-    """Discordant pairs and the exact two-sided p of the binomial tail, capped at 1. The tail is a
-    sum over one row, in log space by the log of binomial coefficients."""
+    """Discordant pairs and the exact two-sided p of the binomial tail, capped at 1; see ``exact_p``."""
     n = df.agg(F.count_if(a & ~b).alias("only_a"), F.count_if(~a & b).alias("only_b"))
 
     @F.pandas_udf("double")
     def tail(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([1.0 if i + j == 0 else min(1.0, 2.0 * sum(comb(int(i + j), k) for k in range(int(min(i, j)) + 1)) / 2 ** int(i + j)) for i, j in zip(x, y, strict=True)])
+        return pd.Series([exact_p(int(i + j), int(min(i, j))) for i, j in zip(x, y, strict=True)])
 
     return n.withColumn("p", F.round(tail(F.col("only_a"), F.col("only_b")), 6))
 

@@ -96,6 +96,18 @@ def test_evaluation(spark):
     assert ci.rounds == 200 and ci.low < 4.5 < ci.high and ci.high - ci.low < 1.2
 
 
+def test_mcnemar_of_many_pairs(spark):
+    m = E.mcnemar(spark.range(7360).select((F.col("id") < 3600).alias("a"), (F.col("id") >= 3600).alias("b")), F.col("a"), F.col("b")).first()
+    assert (m.only_a, m.only_b, m.p) == (3600, 3760, 0.063824)
+    for n, least in ((1, 0), (2, 1), (9, 1), (40, 13), (751, 222), (1600, 760), (7360, 3600), (7360, 2198), (20001, 10000)):
+        term = total = 1
+        for k in range(least):
+            term = term * (n - k) // (k + 1)
+            total += term
+        assert E.exact_p(n, least) == pytest.approx(min(1.0, 2 * total / 2**n), rel=1e-9, abs=1e-300)
+    assert E.exact_p(10**8, 49_995_000) == pytest.approx(0.317359, abs=1e-6) and E.exact_p(10**8, 5 * 10**7) == 1
+
+
 def test_closure_and_components(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (1, 4), (4, 3), (9, 8), (4, 99)], "src bigint, dst bigint")
     got = {r.node: (r.level, r.parent) for r in G.closure(spark.createDataFrame([(1,)], "node bigint"), edges).collect()}
