@@ -1,3 +1,5 @@
+import random
+
 from marlstone.llm import provenance
 
 LIB = "\n".join(f"def helper_{c}(value, other):\n    total = value + {i * 7} - other\n    return total * other" for i, c in enumerate("abcdefghijklmnopqrst"))
@@ -43,6 +45,59 @@ def test_containment_is_exact(spark):
     assert abs(rows[1].contained - len(a & b) / len(a)) < 1e-9 and rows[2].of == 1
 
 
+def _best(files):
+    """By comparing all pairs: ``{file: (common, share)}`` of the most contained ones."""
+
+    def windows(text):
+        lines = [s.strip() for s in text.split("\n") if len(s.strip()) >= provenance.LINE_CHARS]
+        return {tuple(lines[i : i + provenance.RUN]) for i in range(len(lines) - provenance.RUN + 1)}
+
+    sets = {k: windows(t) for k, _, t in files}
+    out = {}
+    for k, repo, _ in files:
+        most = max((len(sets[k] & sets[j]) for j, other, _ in files if other != repo), default=0)
+        if most >= provenance.LINES and most / len(sets[k]) >= provenance.CONTAINED:
+            out[k] = most / len(sets[k])
+    return out
+
+
+def test_a_copy_is_found_whoever_represents_its_lines(spark):
+    # Half of file 0 stands in file 1, and each sixth of that half also in two files of their own, of other repositories.
+    part = lambda tag, n: [f"line {tag} {i}" for i in range(n)]
+    for names in ("abcdefghijklmnop", "ponmlkjihgfedcba", "hgpofeabcdijklnm"):
+        shared = part("s", 62)
+        files = [(0, names[0], "\n".join(shared + part("own", 60))), (1, names[1], "\n".join(part("x", 10) + shared + part("y", 200)))]
+        for k in range(6):
+            for side in range(2):
+                files.append((2 + 2 * k + side, names[2 + 2 * k + side], "\n".join(shared[k * 10 : k * 10 + 12] + part(f"z{k}{side}", 90))))
+        code = spark.createDataFrame(files, "file_key bigint, skill_id string, text string")
+        got = {r.file_key: (r.of, r.contained) for r in provenance.copies(code).collect()}
+        assert {k: v for k, (_, v) in got.items()} == _best(files) and got[0] == (1, 0.5)
+
+
+def test_lines_are_the_same_at_any_place_and_indent(spark):
+    lines = [f"call {k} of {i}" for i, k in enumerate("abcdefghijklmnopqrstuvwxyz")]
+    files = [(1, "s1", "\n".join(lines)), (2, "s2", "class X:\n" + "\n".join("\t  " + x for x in lines))]
+    got = {r.file_key: (r.of, r.contained) for r in provenance.copies(spark.createDataFrame(files, "file_key bigint, skill_id string, text string")).collect()}
+    assert got == {1: (2, 1.0), 2: (1, 24 / 25)}
+
+
+def test_every_best_link_of_mixed_files(spark):
+    rng = random.Random(5)
+    for _ in range(3):
+        pieces = [[f"piece {k} line {i}" for i in range(rng.randint(2, 9))] for k in range(14)]
+        files = []
+        for key in range(60):
+            lines = [x for k in rng.choices(range(14), [2**-k for k in range(14)], k=rng.randint(1, 6)) for x in pieces[k]]
+            lines += [f"own {key} {i}" for i in range(rng.randint(0, 12))]
+            files.append((key, f"s{rng.randint(0, 20)}", "\n".join(lines)))
+        code = spark.createDataFrame(files + files[:9], "file_key bigint, skill_id string, text string")
+        got = provenance.copies(code).collect()
+        assert {r.file_key: r.contained for r in got} == _best(files) and len(got) == len({r.file_key for r in got})
+        skill = {k: s for k, s, _ in files}
+        assert all(skill[r.of] != skill[r.file_key] for r in got)
+
+
 def test_empty_tables(spark):
     excerpts, libs = _table(spark)
     assert provenance.not_handwritten(excerpts.limit(0), libs.limit(0)).collect() == []
